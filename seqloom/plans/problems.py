@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import category_key, plain_user
 from seqloom.operators.dedup import messages, split_copies
 from seqloom.operators.events import usable_events
-from seqloom.operators.features import feature_columns, feature_rows, feature_table
+from seqloom.operators.features import feature_rows, feature_table
 from seqloom.operators.late import corrected_periods, replay
 from seqloom.operators.sessions import sessions, with_duration
 from seqloom.session import broadcast_if_small
@@ -31,10 +31,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per capture: what the 218 categories add up to, cell by cell."""
-    wide, types = _features(spark, d)
-    flat = feature_columns(wide, "capture_id", types)
-    total = lambda p: sum((F.coalesce(F.col(f"`{p}_{t}`"), F.lit(0)) for t in types[1:]), F.coalesce(F.col(f"`{p}_{types[0]}`"), F.lit(0)))
-    return flat.select("capture_id", total("n").alias("n_events"), total("sum").alias("latency_sum"), F.greatest(*(F.col(f"`last_{t}`") for t in types)).alias("last_us"))
+    wide, _ = _features(spark, d)
+    total = lambda f: F.aggregate(F.transform("cells", lambda c: c[f]), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return wide.select("capture_id", total("n").alias("n_events"), total("total").alias("latency_sum"), F.array_max(F.transform("cells", lambda c: c["last_us"])).alias("last_us"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
