@@ -147,47 +147,38 @@ class Vocabulary:
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix of ``piece``; ``known`` is the table of an unchanged prefix."""
         n = len(piece)
+        steps, pairs = self._dicts()
+        child, merged_of, ends, base = steps.get, pairs.get, self.ends, self.n_base
         last = [-1, *(known or [])] + [-1] * (n - len(known or []))
         start = 0 if known is None else max(0, len(known) - int(self.size.max()))
-        data = np.frombuffer(piece, np.uint8).astype(np.int64)
+
+        def fits(x: int, y: int) -> bool:
+            limit = 1 << 40
+            while merged_of((x << 20) | y, limit) >= limit:
+                if x < base and y < base:
+                    return True
+                if x > y:
+                    limit, x = x, int(self.tail[x])
+                else:
+                    limit, y = y + 1, int(self.head[y])
+            return False
+
         for s in range(start, n):
             node, e = 0, s
-            while e < n:
-                node = self._child(node, int(data[e]))
-                if node < 0:
-                    break
+            while e < n and (node := child((node << 8) | piece[e], -1)) >= 0:
                 e += 1
-                token = int(self.ends[node])
-                if token >= 0 and last[e] < 0 and (s == 0 or self._fits(last[s], token)):
-                    last[e] = token
+                if last[e] < 0 and (token := ends[node]) >= 0 and (s == 0 or fits(last[s], int(token))):
+                    last[e] = int(token)
         return last[1:]
 
-    def _child(self, node: int, byte: int) -> int:
-        return self._scalar(self.steps, (node << 8) | byte)
-
-    def _fits(self, x: int, y: int) -> bool:
-        limit = 1 << 40
-        while True:
-            merged = self._scalar(self.pairs, (x << 20) | y)
-            if 0 <= merged < limit:
-                return False
-            if max(x, y) < self.n_base:
-                return True
-            if x > y:
-                limit, x = x, int(self.tail[x])
-            else:
-                limit, y = y + 1, int(self.head[y])
+    def _dicts(self) -> tuple[dict[int, int], dict[int, int]]:
+        """The tables as dicts, for single pieces; made in the worker that needs them."""
+        if not hasattr(self, "_plain"):
+            self._plain = tuple(dict(zip(t.keys[t.keys >= 0].tolist(), t.values[t.keys >= 0].tolist())) for t in (self.steps, self.pairs))
+        return self._plain
 
-    @staticmethod
-    def _scalar(table: HashTable, key: int) -> int:
-        at = ((key * int(_MULT)) & 0xFFFFFFFFFFFFFFFF) >> int(table.shift)
-        while True:
-            there = int(table.keys[at])
-            if there == key:
-                return int(table.values[at])
-            if there == -1:
-                return -1
-            at = (at + 1) & table.mask
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_plain"}
 
     def solve(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and how many each has."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import plain_route
 from seqloom.llm.bpe import encode_corpus
+from seqloom.llm.leakage import leaked
 from seqloom.llm.operations import Operations, operation_names
+from seqloom.llm.pieces import split_oversized
 from seqloom.llm.runs import collapse_runs
 from seqloom.llm.subsequences import frequent_subsequences, spelled
 from seqloom.llm.vocabulary import marked_terms
@@ -59,7 +61,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_collapsed, p7_found, p7_terms, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents", "doc_id", "text", "layout"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Proximity matches: the words of a window in order, within four words more."""
+    return leaked(table(spark, d, "documents", "doc_id", "text", "layout"), table(spark, d, "eval_items", "item_id", "text"), slack=4)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "documents", "doc_id", "text", "layout"), with_text=False).where("piece_no = 0").select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    return split_oversized(table(spark, d, "documents", "doc_id", "text", "layout"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_collapsed, p7_found, p7_terms, p8_ids, p9_found, p9_near, p10_found, p10_pieces)}
 
 _CAT = "regexp_replace(lower(trim({}, ' \t\n\r')), '[./:-]', '.')"
 _OPS_SQL = """o AS (SELECT DISTINCT operation, regexp_replace(lower(operation), '[^a-z]', '', 'g') AS k FROM dim_operation),
