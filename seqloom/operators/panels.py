@@ -286,7 +286,7 @@ def ad_dose_response(ev: DataFrame, most: int = 30) -> DataFrame:
     curve = n.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("k", "n", "n_action", "base_n", "base_action"))).alias("c"))  # at most ``most`` entries
     stay = lambda upto: F.aggregate(F.slice("c", 1, upto), F.lit(1.0), lambda s, x: s * (1 - F.when(x["n"] > 0, x["n_action"] / x["n"]).otherwise(0.0)))
     out = curve.select(KEY, F.posexplode("c").alias("_i", "x"), "c")
-    return out.select(KEY, F.col("x.k").cast("bigint").alias("k"), "x.n", "x.n_action", rounded(1 - stay(F.col("_i") + 1)).alias("cumulative"), "x.base_n", "x.base_action")
+    return out.select(KEY, F.col("x.k").cast("bigint").alias("k"), "x.n", "x.n_action", rounded(1 - stay(F.col("_i") + 1), 9).alias("cumulative"), "x.base_n", "x.base_action")
 
 
 def revision_boundaries(ev: DataFrame, window: int = 50, least: int = 10) -> DataFrame:

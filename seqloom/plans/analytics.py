@@ -122,7 +122,7 @@ i AS (SELECT capture_id, n, unnest(range(1, least(20 * n_hovers, n - 1) + 1)) AS
 SELECT capture_id, n_hovers, n_converted, n_base, n_base_converted, median_delay FROM p JOIN b USING (capture_id)"""),
     "ad_dose_response": (P.ad_dose_response, (), f"""{BASE}, {_sub(f'category IN {_ADS}', 's0')}, {_least('s0', 's', 'count(*) >= 50', "count(*) FILTER (category = 'ad') >= 3")}, a AS (SELECT capture_id, pos, category = 'ad' AS ad, unnest(range(1, 31)) AS k FROM s),
 j AS (SELECT a.capture_id, a.k, count(*) FILTER (ad) AS n, count(*) FILTER (ad AND s.category IN {_ACT}) AS n_action, count(*) AS base_n, count(*) FILTER (s.category IN {_ACT}) AS base_action FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = a.pos + a.k GROUP BY ALL)
-SELECT capture_id, k, n, n_action, {_R.format('1 - product(1 - CASE WHEN n > 0 THEN n_action / n ELSE 0.0 END) OVER (PARTITION BY capture_id ORDER BY k)')} AS cumulative, base_n, base_action FROM j"""),
+SELECT capture_id, k, n, n_action, round(1 - product(1 - CASE WHEN n > 0 THEN n_action / n ELSE 0.0 END) OVER (PARTITION BY capture_id ORDER BY k), 9) + 0.0 AS cumulative, base_n, base_action FROM j"""),
     "rev_boundary_delta": (P.revision_boundaries, (), f"""{BASE}, {_least('ev', 'l', 'count(*) >= 30')}, o AS (SELECT capture_id, pos, category, ts_us, nullif(rev, '') AS rev, last_value(nullif(rev, '') IGNORE NULLS) OVER (PARTITION BY capture_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM l),
 b AS (SELECT * FROM o WHERE rev IS NOT NULL AND pos > 0 AND rev IS DISTINCT FROM old), j AS (SELECT b.capture_id, b.pos, coalesce(b.old, '') AS old_rev, b.rev AS new_rev, l.category, l.ts_us, l.pos < b.pos AS bef FROM b JOIN l ON l.capture_id = b.capture_id AND l.pos >= b.pos - 50 AND l.pos < b.pos + 50),
 t AS (SELECT capture_id, pos, old_rev, new_rev, count(*) FILTER (bef AND category IN {_BEH}) AS all_before, count(*) FILTER (NOT bef AND category IN {_BEH}) AS all_after, count(*) FILTER (bef) AS nb, count(*) FILTER (NOT bef) AS na, max(ts_us) FILTER (bef) - min(ts_us) FILTER (bef) AS tb, max(ts_us) FILTER (NOT bef) - min(ts_us) FILTER (NOT bef) AS ta, list(category) FILTER (bef) AS cb, list(category) FILTER (NOT bef) AS ca FROM j GROUP BY ALL),
