@@ -31,7 +31,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Characters taken together; pieces longer than LONG bytes are solved one by one.
-BLOCK, LONG = 1 << 20, 64
+BLOCK, LONG = 1 << 22, 64
 _NONE = np.int64(1) << 40
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,7 +186,7 @@ class Vocabulary:
         counts = np.zeros(len(pieces), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # piece, order from the end, id
         low = 0
-        for high in (4, 8, 16, 32, LONG):
+        for high in (12, LONG):
             group = np.flatnonzero((size > low) & (size <= high))
             low = high
             if len(group):
