@@ -29,6 +29,8 @@ from seqloom.llm.notebook import boundaries
 LIMIT, OVERLAP = 2048, 128
 #: Tokens that a piece keeps free: at its ends white space may take other tokens than inside the text.
 SPARE = 8
+#: Characters at either end of a piece in which a safe place is looked for.
+SYNC = 400
 _LINE = re.compile(r"\r\n|\r|\n|\\n\", *(?=\")")
 _BLANK = re.compile(r"[ \t#]*(?:\r\n|\r|\n)")
 INSIDE, LINE, BLANK, CELL = 0, 1, 2, 3
@@ -95,11 +97,29 @@ class Cutter:
         room = self.limit - self.overlap - SPARE
         while True:
             pieces = self._pieces(text, layout, ends, room)
-            sizes = self.enc.encode([text[s:e] for s, _, e in pieces])[1]
+            sizes = self._counts(text, ends, pieces)
             if sizes.max() <= self.limit or room <= SPARE:
                 return [(*p, int(n)) for p, n in zip(pieces, sizes)]
             room -= max(SPARE, int(sizes.max()) - self.limit)  # rare: white space that packs worse alone
 
+    def _counts(self, text: str, ends: np.ndarray, pieces: list[tuple[int, int, int]]) -> np.ndarray:
+        """Each piece's own number of tokens.
+
+        Between two single blanks that stand between visible signs a piece's tokens are the text's own,
+        whatever surrounds them; only what lies outside is encoded again.
+        """
+        safe, parts, inner = self.enc.splitter.safe, [], []
+        for s, _, e in pieces:
+            first = safe.search(text, s + 1, min(e, s + SYNC))
+            a = b = e
+            if first:
+                a = b = first.start()
+                for m in safe.finditer(text, max(a, e - SYNC), e):
+                    b = m.start()
+            parts += [text[s:a], text[b:e]]
+            inner.append(int(np.searchsorted(ends, b, side="right") - np.searchsorted(ends, a, side="right")))
+        return self.enc.encode(parts)[1].reshape(-1, 2).sum(axis=1) + inner
+
     def _pieces(self, text: str, layout: str | None, ends: np.ndarray, room: int) -> list[tuple[int, int, int]]:
         strong = {c for c in boundaries(text, layout) if 0 < c < len(text)}
         kind = {m.end(): LINE for m in _LINE.finditer(text) if m.end() < len(text)}
