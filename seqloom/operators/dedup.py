@@ -9,10 +9,11 @@ group, not even one with a third of all rows, is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.text import base36, blank_to_null, stripped, whole_second
+from seqloom.functions.blobs import json_object
+from seqloom.functions.text import base36, stripped, whole_second
 from seqloom.session import materialise
 
 #: Groups beyond this many copies may be taken as hot, and at most so many of them are.
@@ -21,18 +22,6 @@ HOT_COPIES, HOT_GROUPS = 10_000, 1000
 _FIELDS = ("__type", "__kind", "__req", "__crn", "__user", "fb_api_req_friendly_name", "__spin_t")
 
 
-def parse_lines(line: Column | str) -> Column:
-    """A struct of the message fields as text, null where the line isn't one whole JSON object.
-
-    Of a key that occurs twice the last value counts, as JSON readers do.
-    """
-    c = F.col(line) if isinstance(line, str) else line
-    schema = ", ".join(f"`{f}` string" for f in _FIELDS) + ", `_broken` string"
-    parsed = F.from_json(c, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "false"})
-    is_object = stripped(c).startswith("{") & stripped(c).endswith("}")
-    return F.when(is_object & parsed["_broken"].isNull(), parsed)
-
-
 def messages(lines: DataFrame) -> DataFrame:
     """(line_id, ident): the messages among relay lines and the identifier that tells their copies.
 
@@ -41,7 +30,7 @@ def messages(lines: DataFrame) -> DataFrame:
     second and request number, each without outer blanks, null, absent and blank being equal; it is
     null where ``__req`` identifies nothing.  A second that can't be read counts as absent.
     """
-    m = lines.select("line_id", F.col("capture_id").alias("_cap"), parse_lines("line").alias("m")).where("m is not null")
+    m = lines.select("line_id", F.col("capture_id").alias("_cap"), json_object("line", _FIELDS).alias("m")).where("m is not null")
     field = lambda f: F.coalesce(stripped(F.col(f"m.`{f}`")), F.lit(""))
     m = m.where((field("__type") != "hello") & field("__kind").isin("", "request") & (field("__crn") != ""))
     req = base36(F.col("m.`__req`"))
