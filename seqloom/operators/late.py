@@ -86,6 +86,7 @@ class PeriodStore:
 
     def add(self, batch: DataFrame) -> None:
         """Take in the next batch: records of a key with seq above all of earlier batches."""
+        batch = batch.select("capture_id", "block", "seq", "ts_us")
         state = self.manifest()
         b, days = state["batches"], state["days"]
         batch.groupBy("capture_id").agg(F.max("ts_us").alias("_top")).write.mode("overwrite").parquet(f"{self.path}/tops/batch={b}")
@@ -124,6 +125,7 @@ def replay(df: DataFrame, arrivals: DataFrame | None = None, n_batches: int = 3,
     them.
     """
     store = PeriodStore(df.sparkSession, **limits)
+    df = df.select("capture_id", "block", "seq", "ts_us")
     shares = [i / n_batches for i in range(1, n_batches)]
     edges = (df if arrivals is None else arrivals).agg(F.percentile_approx("seq", F.array(*map(F.lit, shares)), 1000)).head()[0] if shares else []
     bounds = [None, *sorted(set(edges or [])), None]
