@@ -23,9 +23,9 @@ def layout_of(text: str, layout: str | None) -> str:
     """The layout, told from the text where it isn't one of the four."""
     if layout in ("ipynb", "percent", "fenced", "prompt"):
         return layout
-    head = text[:200].lstrip("﻿ \t\r\n")
+    head = text[:200].lstrip("\ufeff \t\r\n").replace("\r\n", "\n").replace("\r", "\n")
     for name, marker in (("percent", PERCENT), ("prompt", PROMPT), ("fenced", FENCED_CELL)):
-        if marker.match(head.replace("\r\n", "\n").replace("\r", "\n").split("\n")[0] if name != "prompt" else head):
+        if marker.match(head):
             return name
     return "ipynb" if head.startswith("{") else ""
 
