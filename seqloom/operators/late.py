@@ -11,12 +11,11 @@ half-way leaves the old manifest, and with it the old tables.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.session import scratch_path
+from seqloom.sources.manifest import Manifest
 
 PERIOD_US, CUTOFF_US = 900_000_000, 7_200_000_000
 _DAY_US = 86_400_000_000
@@ -28,36 +27,15 @@ class PeriodStore:
     def __init__(self, spark: SparkSession, path: str | None = None, period_us: int = PERIOD_US, cutoff_us: int = CUTOFF_US):
         self.spark, self.path = spark, path or scratch_path(spark, "periods")
         self.period_us, self.cutoff_us = period_us, cutoff_us
-
-    # -- manifest ---------------------------------------------------------------------------------
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _hpath(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._manifest = Manifest(spark, self.path)
 
     def manifest(self) -> dict:
         """batches: how many are in; days: day -> batch whose recomputed table is current."""
-        fs, at = self._fs(), self._hpath("manifest.json")
-        if not fs.exists(at):
-            return {"batches": 0, "days": {}}
-        stream = fs.open(at)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._manifest.read({"batches": 0, "days": {}})
 
     def _commit(self, manifest: dict) -> None:
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration())
-        stream = self._fs().create(self._hpath("manifest.next"), True)
-        stream.write(bytearray(json.dumps(manifest), "utf-8"))
-        stream.close()
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._hpath("manifest.next"), self._hpath("manifest.json"), options)
-
-    # -- batches ----------------------------------------------------------------------------------
+        self._manifest.commit(manifest)
+
     def judge(self, batch: DataFrame, done: int) -> DataFrame:
         """The batch's records with ``late`` and ``rejected``.
 
@@ -94,17 +72,13 @@ class PeriodStore:
         raw = f"{self.path}/raw/batch={b}"
         spread = F.pmod(F.xxhash64("capture_id", "period_us"), F.lit(8))
         judged.select("capture_id", "period_us", "late", "day").repartition("day", spread).write.mode("overwrite").partitionBy("day").parquet(raw)
-        touched = self._days(raw)
+        touched = self._manifest.partitions(f"raw/batch={b}", "day")
         if touched:
             kept = self._raw(b + 1).where(F.col("day").isin(touched))
             counts = kept.groupBy("capture_id", "period_us", "day").agg(F.count(F.lit(1)).alias("n_final"), F.count(F.when(F.col("late"), 1)).alias("n_late"))
             counts.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/counts/batch={b}")
         self._commit({"batches": b + 1, "days": days | {str(d): b for d in touched}})
 
-    def _days(self, folder: str) -> list[int]:
-        """The days a batch touched: one folder each, read from the listing."""
-        return sorted(int(s.getPath().getName().partition("=")[2]) for s in self._fs().listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder)) if s.getPath().getName().startswith("day="))
-
     def _raw(self, batches: int) -> DataFrame:
         schema = "capture_id string, period_us bigint, late boolean, day bigint, batch int"
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/raw").parquet(*(f"{self.path}/raw/batch={b}" for b in range(batches)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.canonical import ACTIONS, BEHAVIOUR, CATEGORIES, SYSTEM
 from seqloom.operators.sequence import framed, last_before, next_match, reindex
+from seqloom.session import materialise
 
 KEY = "capture_id"
 RESPONSE = ["act", "compose", "msg"]  # without react
@@ -137,6 +138,7 @@ def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, re
     base = _hook_base(ev)
     look = framed(base, lookback, 0, c=lambda w: F.count(F.when(is_in([category]), 1)).over(w.rowsBetween(-lookback, -1)))
     look = look.select(KEY, "pos", is_in(ACTIONS).alias("is_action"), "c", F.least("pos", F.lit(lookback)).alias("d"))
+    look = materialise(look, "look")
     obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.sum(F.when(F.col("is_action"), F.col("c"))).alias("oc"), F.sum(F.when(F.col("is_action"), F.col("d"))).alias("od"))
     drawn = look.where("pos >= 1").join(obs.select(KEY, "a"), KEY).select(KEY, "pos", "c", "d", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("pos").cast("string")))).withColumn("part", F.substring("h", 1, 3))
@@ -165,12 +167,22 @@ def _bucketed(ev: DataFrame, seconds: int) -> DataFrame:
     return s.select(KEY, "category", n.alias("n_buckets"), b.alias("bucket"), (is_in(BEHAVIOUR) | (F.col("n_beh") < 10)).alias("counts"), (F.col("n_beh") < 10).alias("all_count"))
 
 
+def _busy(ev: DataFrame, seconds: int) -> DataFrame:
+    """(capture_id, bucket, n, n_buckets) of the buckets with activity; every capture has at least its first bucket."""
+    src = _bucketed(ev, seconds)
+    n = src.groupBy(KEY, "bucket").agg(F.count(F.when(F.col("counts"), 1)).alias("n"), F.max("n_buckets").alias("n_buckets"))
+    return n.where("n > 0 or bucket = 0")
+
+
+def _dense(busy: DataFrame) -> DataFrame:
+    """(capture_id, bucket, n) with the empty buckets."""
+    spine = busy.where("bucket = 0").select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_buckets") - 1)).alias("bucket"), F.lit(0).cast("bigint").alias("n"))
+    return busy.select(KEY, "bucket", "n").unionByName(spine).groupBy(KEY, "bucket").agg(F.sum("n").alias("n"))
+
+
 def rhythm_buckets(ev: DataFrame, seconds: int = 60) -> DataFrame:
     """(capture_id, bucket, n): dense counts of behaviour (of all events where there is too little of it)."""
-    src = _bucketed(ev, seconds)
-    spine = src.groupBy(KEY).agg(F.max("n_buckets").alias("n")).select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    counted = src.where("counts").groupBy(KEY, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionByName(spine).groupBy(KEY, "bucket").agg(F.sum("n").alias("n"))
+    return _dense(_busy(ev, seconds))
 
 
 def rhythm_by_category(ev: DataFrame, seconds: int = 60) -> DataFrame:
@@ -180,33 +192,51 @@ def rhythm_by_category(ev: DataFrame, seconds: int = 60) -> DataFrame:
     return src.groupBy(KEY, "bucket", "category").agg(F.sum(times).cast("bigint").alias("n"))
 
 
+def _median(values: Column) -> Column:
+    """The median of an array of (v, c) structs in order of v, each standing for c values."""
+    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
+    at = lambda k: F.aggregate(values, start, lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["c"] > k), x["v"]).otherwise(a["v"]).alias("v")))["v"]
+    return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+
+
 def bursts(ev: DataFrame, seconds: int = 60, k: float = 3.5) -> DataFrame:
     """(capture_id, bucket, n, median, mad, threshold): buckets above median + k / 0.6745 * MAD.
 
-    Where MAD is 0 the sample deviation / 1.4826 takes its place; fewer than 5 busy buckets have no bursts.
+    Where MAD is 0 the sample deviation / 1.4826 takes its place; fewer than 5 busy buckets have no
+    bursts.  Medians come from the histogram of counts, in which the empty buckets are one entry, so
+    these are never made.
     """
-    b = rhythm_buckets(ev, seconds)
-    m = b.groupBy(KEY).agg(F.percentile("n", F.lit(0.5)).alias("median"), F.stddev_samp("n").alias("sd"), F.count(F.when(F.col("n") > 0, 1)).alias("busy"))
-    b = b.join(m.where("busy >= 5"), KEY)
-    d = b.groupBy(KEY).agg(F.percentile(F.abs(F.col("n") - F.col("median")), F.lit(0.5)).alias("mad"))
-    spread = F.when(F.col("mad") == 0, F.col("sd") / F.lit(1.4826)).otherwise(F.col("mad"))
-    out = b.join(d, KEY).withColumn("threshold", F.col("median") + F.lit(k / 0.6745) * spread)
-    return out.where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
+    busy = materialise(_busy(ev, seconds), "buckets")
+    entry = F.struct(F.col("n").cast("double").alias("v"), F.col("c"))
+    h = busy.groupBy(KEY, "n").agg(F.count(F.lit(1)).alias("c"), F.max("n_buckets").alias("n_buckets"))
+    h = h.groupBy(KEY).agg(F.collect_list(F.when(F.col("n") > 0, entry)).alias("h"), F.max("n_buckets").alias("nb"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("busy"), F.sum(F.col("n") * F.col("c")).alias("s1"), F.sum(F.col("n") * F.col("n") * F.col("c")).alias("s2"))  # distinct counts only
+    empty = F.struct(F.lit(0.0).alias("v"), (F.col("nb") - F.col("busy")).alias("c"))
+    h = h.where("busy >= 5").withColumn("h", F.array_sort(F.filter(F.array_append("h", empty), lambda x: x["c"] > 0)))
+    h = h.withColumn("median", _median(F.col("h")))
+    h = h.withColumn("mad", _median(F.array_sort(F.transform("h", lambda x: F.struct(F.abs(x["v"] - F.col("median")).alias("v"), x["c"].alias("c"))))))
+    sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("nb")) / (F.col("nb") - 1))
+    h = h.select(KEY, "median", "mad", (F.col("median") + F.lit(k / 0.6745) * F.when(F.col("mad") == 0, sd / F.lit(1.4826)).otherwise(F.col("mad"))).alias("threshold"))
+    return busy.join(h, KEY).where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
 
 
 def bucket_trend(ev: DataFrame, seconds: int = 60) -> DataFrame:
     """(capture_id, n_buckets, slope, intercept) of the least squares line through the buckets."""
-    t = _trend(rhythm_buckets(ev, seconds))
+    t = _trend(_busy(ev, seconds))
     return t.select(KEY, "n_buckets", rounded("slope", 9).alias("slope"), rounded("intercept").alias("intercept"))
 
 
-def _trend(b: DataFrame) -> DataFrame:
-    return b.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_buckets"), F.regr_slope(F.col("n").cast("double"), F.col("bucket").cast("double")).alias("slope"), F.regr_intercept(F.col("n").cast("double"), F.col("bucket").cast("double")).alias("intercept"))
+def _trend(busy: DataFrame) -> DataFrame:
+    """The line by its normal equations: the sums over bucket numbers are known, empty buckets add nothing to the others."""
+    s = busy.groupBy(KEY).agg(F.max("n_buckets").alias("n_buckets"), F.sum("n").cast("double").alias("sy"), F.sum(F.col("n").cast("double") * F.col("bucket")).alias("sxy"))
+    n, x = F.col("n_buckets").cast("double"), (F.col("n_buckets") - 1) / 2.0
+    slope = (F.col("sxy") - F.col("sy") * x) / (n * (n * n - 1) / 12.0)
+    return s.withColumn("slope", slope).select(KEY, "n_buckets", "slope", (F.col("sy") / n - F.col("slope") * x).alias("intercept"))
 
 
 def _detrended(ev: DataFrame, seconds: int) -> DataFrame:
-    b = rhythm_buckets(ev, seconds)
-    return b.join(_trend(b), KEY).select(KEY, F.col("bucket").alias("pos"), "n_buckets", (F.col("n") - (F.col("slope") * F.col("bucket") + F.col("intercept"))).alias("x"))
+    busy = materialise(_busy(ev, seconds), "buckets")
+    return _dense(busy).join(_trend(busy), KEY).select(KEY, F.col("bucket").alias("pos"), "n_buckets", (F.col("n") - (F.col("slope") * F.col("bucket") + F.col("intercept"))).alias("x"))
 
 
 def autocorrelation(ev: DataFrame, seconds: int = 60, lags: int = 60) -> DataFrame:

@@ -1,42 +1,76 @@
-"""A longitudinal store of captures: Parquet, one partition per capture.
+"""A longitudinal store of captures in Parquet.
 
-Ingesting a capture again replaces it: only the partitions of the captures at hand are overwritten.
-Reading one capture lists and scans its partition alone.
+Captures are hashed into a fixed number of buckets, and a bucket's rows lie sorted by capture, so
+neither many small captures nor one with a third of all rows shape the files: the first share them,
+the second fills several.  Ingesting a capture again replaces it: the buckets at hand are written
+anew, without what they had of these captures, and a manifest makes them current all at once.
+Reading one capture opens its bucket, and there only the row groups that can hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Capture ids hold signs that file systems reserve; partitions are named by a hash of the id as well.
+from seqloom.sources.manifest import Manifest
+
 BUCKETS = 64
+#: Rows of a capture that are written by one task.
+ROWS = 2_000_000
 
 
 class CaptureStore:
-    """Tables ``events`` and ``captures`` under one folder."""
+    """Events and a summary of each capture under one folder."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._manifest = Manifest(spark, self.path)
+
+    def _state(self) -> dict:
+        return self._manifest.read({"version": 0, "buckets": {}, "schema": None})
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _bucket(self, capture: Column) -> Column:
+        return F.pmod(F.xxhash64(capture), F.lit(self.buckets)).cast("int")
+
+    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+        current = {int(b): v for b, v in self._state()["buckets"].items() if buckets is None or int(b) in buckets}
+        paths = [f"{self.path}/{table}/v={v}/bucket={b}" for b, v in current.items()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _write(self, rows: DataFrame, table: str, version: int, *spread: Column) -> None:
+        rows.repartition("bucket", *spread).sortWithinPartitions("bucket", "capture_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/v={version}")
 
     def ingest(self, events: DataFrame, source_path: str = "") -> None:
-        """Write all captures of ``events``, replacing what the store has of them.
+        """Write all captures of ``events`` (capture_id, seq, ts_us, ...), replacing what the store has of them.
 
-        Rows are spread by capture and a salt of their order, so a capture with a third of all rows is
-        written by several tasks.
+        Rows without a capture are left out.
         """
-        salt = F.floor(F.col("seq") / 500_000)
-        rows = events.withColumn("bucket", F.pmod(F.xxhash64("capture_id"), F.lit(BUCKETS)).cast("int"))
-        rows.repartition("bucket", "capture_id", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "capture_id").parquet(f"{self.path}/events")
+        state = self._state()
+        version = state["version"] + 1
+        rows = events.where("capture_id is not null").withColumn("bucket", self._bucket(F.col("capture_id")))
         summary = rows.groupBy("bucket", "capture_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts_us").alias("t_min_us"), F.max("ts_us").alias("t_max_us"), F.lit(source_path).alias("source_path"))
-        summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "capture_id").parquet(f"{self.path}/captures")
+        self._write(summary, "new", version)  # one row per capture: what is replaced
+        touched = self._manifest.partitions(f"new/v={version}", "bucket")
+        new = self.spark.read.parquet(f"{self.path}/new/v={version}")
+        for table, fresh, spread in (("events", rows, [F.floor(F.coalesce("seq", F.lit(0)) / ROWS)]), ("captures", new, [])):
+            old = self._read(table, touched)
+            if old is not None:
+                kept = old.join(new.select("capture_id"), "capture_id", "left_anti")
+                fresh = fresh.unionByName(kept.withColumn("bucket", self._bucket(F.col("capture_id"))), allowMissingColumns=True)
+            self._write(fresh, table, version, *spread)
+        self._manifest.commit({"version": version, "buckets": state["buckets"] | {str(b): version for b in touched}})
 
     def captures(self) -> DataFrame:
-        """All captures by their first event."""
-        df = self.spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{self.path}/captures")
-        return df.select(F.col("capture_id").cast("string"), "n_events", "t_min_us", "t_max_us", "source_path").orderBy("t_min_us", "capture_id")
-
-    def events(self, capture_id: str | None = None) -> DataFrame:
-        """All events, or those of one capture by way of its partition."""
-        df = self.spark.read.parquet(f"{self.path}/events").withColumn("capture_id", F.col("capture_id").cast("string"))
-        return df.drop("bucket") if capture_id is None else df.where(F.col("capture_id") == capture_id).drop("bucket")
+        """(capture_id, n_events, t_min_us, t_max_us, source_path) by the first event."""
+        df = self._read("captures")
+        if df is None:
+            return self.spark.createDataFrame([], "capture_id string, n_events bigint, t_min_us bigint, t_max_us bigint, source_path string")
+        return df.select("capture_id", "n_events", "t_min_us", "t_max_us", "source_path").orderBy("t_min_us", "capture_id")
+
+    def events(self, capture_id: str | None = None) -> DataFrame | None:
+        """All events, or those of one capture; None from a store that holds nothing there."""
+        if capture_id is None:
+            return self._read("events")
+        bucket = self.spark.range(1).select(self._bucket(F.lit(capture_id))).head()[0]
+        df = self._read("events", [bucket])
+        return df if df is None else df.where(F.col("capture_id") == capture_id)

@@ -77,4 +77,5 @@ def test_store(spark, tmp_path):
     assert [(r["capture_id"], r["n_events"]) for r in store.captures().collect()] == [("b/2 x", 1), ("a:1", 1)]
     one = store.events("a:1")
     assert [r["seq"] for r in one.collect()] == [1]
-    assert "capture_id" in one._jdf.queryExecution().toString().split("PartitionFilters")[1][:300]
+    assert "PushedFilters: [IsNotNull(capture_id), EqualTo(capture_id,a:1)]" in one._jdf.queryExecution().toString()
+    assert store.events().count() == 2 and CaptureStore(spark, str(tmp_path / "none")).captures().count() == 0
