@@ -6,7 +6,7 @@ of rows in the key's earlier spans, which is a running sum over one small row pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of a time span: six hours.
@@ -27,3 +27,35 @@ def numbered(df: DataFrame, key: str, time_us: str, tie: str, out: str = "pos",
     within = Window.partitionBy(key, "_span").orderBy(time_us, tie)
     local = src.withColumn("_row", F.row_number().over(within) - 1)
     return local.join(base, [key, "_span"]).select(*df.columns, (F.col("_base") + F.col("_row")).cast("bigint").alias(out))
+
+
+def running(df: DataFrame, key: str, order: str, span: int, descending: bool = False, **sums: Column) -> DataFrame:
+    """``df`` with the running sum of each column up to and with the row, by ``order`` (unique in a key).
+
+    Like the positions: summed within spans of ``span`` first, then shifted by the earlier spans.
+    """
+    src = df.withColumn("_span", F.floor(F.col(order) / F.lit(span)).cast("bigint")).withColumns({f"_v_{n}": c for n, c in sums.items()}).repartition(key, "_span")
+    whole = src.groupBy(key, "_span").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums))
+    by = F.desc if descending else F.asc
+    before = Window.partitionBy(key).orderBy(by("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select(key, "_span", *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    within = Window.partitionBy(key, "_span").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = src.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(within) for n in sums})
+    return local.join(base, [key, "_span"]).select(*df.columns, *((F.coalesce(f"_l_{n}", F.lit(0)) + F.col(f"_b_{n}")).alias(n) for n in sums))
+
+
+def exact_medians(df: DataFrame, keys: list[str], value: str, width: int, out: str = "median") -> DataFrame:
+    """(keys, out): the exact median of a whole-number column in each group, null values left out.
+
+    Values are counted in slots of ``width``; only the one or two slots that hold the middle are
+    ranked, so a group with a third of all rows is neither sorted nor held in one task.
+    """
+    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(width)).cast("bigint").alias("_slot"))
+    slots = src.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumns({"_below": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = slots.where((F.col("_below") <= high) & (F.col("_below") + F.col("_n") > low)).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_v")) - 1 + F.col("_below")
+    rows = src.join(middle, [*keys, "_slot"]).withColumn("_rank", rank)
+    return rows.where((F.col("_rank") == low) | (F.col("_rank") == high)).groupBy(*keys).agg(F.avg("_v").alias(out))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.canonical import ACTIONS, BEHAVIOUR, CATEGORIES, SYSTEM
-from seqloom.operators.sequence import framed, last_before, next_match, reindex
+from seqloom.operators.ordered import exact_medians, running
+from seqloom.operators.sequence import beside, framed, last_before, next_match, reindex
 from seqloom.session import materialise
 
 KEY = "capture_id"
@@ -30,15 +31,15 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
 
 def per_capture(df: DataFrame, **aggregates: Column) -> DataFrame:
     """``df`` with aggregates of its capture beside each row."""
-    return df.join(df.groupBy(KEY).agg(*(c.alias(n) for n, c in aggregates.items())), KEY)
+    return beside(df, df.groupBy(KEY).agg(*(c.alias(n) for n, c in aggregates.items()), F.max("pos").alias("_top")))
 
 
 def enough(df: DataFrame, *least: tuple[Column, int]) -> DataFrame:
     """The rows of captures in which each condition holds for at least so many rows."""
-    counts = df.groupBy(KEY).agg(*(F.count(F.when(c, 1)).alias(f"_c{i}") for i, (c, _) in enumerate(least)))
+    counts = df.groupBy(KEY).agg(*(F.count(F.when(c, 1)).alias(f"_c{i}") for i, (c, _) in enumerate(least)), F.max("pos").alias("_top"))
     for i, (_, n) in enumerate(least):
         counts = counts.where(F.col(f"_c{i}") >= n)
-    return df.join(counts.select(KEY), KEY, "left_semi")
+    return beside(df, counts.select(KEY, "_top"), "left_semi")
 
 
 # -- header, hours, status ---------------------------------------------------------------------------
@@ -140,7 +141,7 @@ def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, re
     look = look.select(KEY, "pos", is_in(ACTIONS).alias("is_action"), "c", F.least("pos", F.lit(lookback)).alias("d"))
     look = materialise(look, "look")
     obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.sum(F.when(F.col("is_action"), F.col("c"))).alias("oc"), F.sum(F.when(F.col("is_action"), F.col("d"))).alias("od"))
-    drawn = look.where("pos >= 1").join(obs.select(KEY, "a"), KEY).select(KEY, "pos", "c", "d", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    drawn = beside(look.where("pos >= 1"), obs.select(KEY, "a")).select(KEY, "pos", "c", "d", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("pos").cast("string")))).withColumn("part", F.substring("h", 1, 3))
     # the smallest hashes are found by hash prefix: whole prefixes first, then ranks in the one that is split
     parts = drawn.groupBy(KEY, "r", "part", "a").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("rc"), F.sum("d").alias("rd"))
@@ -160,7 +161,7 @@ def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, re
 # -- rhythm --------------------------------------------------------------------------------------------
 def _bucketed(ev: DataFrame, seconds: int) -> DataFrame:
     """Rows with their bucket since the capture's first event, and whether they count as activity."""
-    s = per_capture(enough(ev.select(KEY, "ts_us", "category"), (F.lit(True), 10)), t0=F.min("ts_us"), t1=F.max("ts_us"), n_beh=F.count(F.when(is_in(BEHAVIOUR), 1)))
+    s = per_capture(enough(ev.select(KEY, "pos", "ts_us", "category"), (F.lit(True), 10)), t0=F.min("ts_us"), t1=F.max("ts_us"), n_beh=F.count(F.when(is_in(BEHAVIOUR), 1)))
     width = seconds * 1_000_000
     n = F.greatest(F.lit(10), F.floor(F.greatest(F.lit(1_000_000), F.col("t1") - F.col("t0")) / width) + 1).cast("bigint")
     b = F.least(F.floor((F.col("ts_us") - F.col("t0")) / width), n - 1).cast("bigint")
@@ -217,7 +218,7 @@ def bursts(ev: DataFrame, seconds: int = 60, k: float = 3.5) -> DataFrame:
     h = h.withColumn("mad", _median(F.array_sort(F.transform("h", lambda x: F.struct(F.abs(x["v"] - F.col("median")).alias("v"), x["c"].alias("c"))))))
     sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("nb")) / (F.col("nb") - 1))
     h = h.select(KEY, "median", "mad", (F.col("median") + F.lit(k / 0.6745) * F.when(F.col("mad") == 0, sd / F.lit(1.4826)).otherwise(F.col("mad"))).alias("threshold"))
-    return busy.join(h, KEY).where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
+    return beside(busy.withColumn("pos", F.col("bucket")), h).where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
 
 
 def bucket_trend(ev: DataFrame, seconds: int = 60) -> DataFrame:
@@ -236,7 +237,8 @@ def _trend(busy: DataFrame) -> DataFrame:
 
 def _detrended(ev: DataFrame, seconds: int) -> DataFrame:
     busy = materialise(_busy(ev, seconds), "buckets")
-    return _dense(busy).join(_trend(busy), KEY).select(KEY, F.col("bucket").alias("pos"), "n_buckets", (F.col("n") - (F.col("slope") * F.col("bucket") + F.col("intercept"))).alias("x"))
+    dense = _dense(busy).select(KEY, F.col("bucket").alias("pos"), "n")
+    return beside(dense, _trend(busy).withColumn("_top", F.col("n_buckets") - 1)).withColumn("bucket", F.col("pos")).select(KEY, "pos", "n_buckets", (F.col("n") - (F.col("slope") * F.col("bucket") + F.col("intercept"))).alias("x"))
 
 
 def autocorrelation(ev: DataFrame, seconds: int = 60, lags: int = 60) -> DataFrame:
@@ -347,7 +349,7 @@ def _durations(ev: DataFrame, most_s: int = 480) -> DataFrame:
     """
     seq = reindex(enough(ev, (F.lit(True), 30)), is_in(BEHAVIOUR)).select(KEY, "pos", "category", "ts_us")
     ahead = next_match(seq, is_in(ACTIONS), "ts_us").where(~is_in(ACTIONS))
-    ahead = ahead.join(seq.groupBy(KEY).agg(F.max("ts_us").alias("_end")), KEY)
+    ahead = beside(ahead, seq.groupBy(KEY).agg(F.max("ts_us").alias("_end"), F.max("pos").alias("_top")))
     d = F.coalesce(F.col("next.ts_us"), F.col("_end")) - F.col("ts_us")
     rows = ahead.select(KEY, d.alias("d"), F.col("next").isNotNull().alias("observed"))
     return rows.where(F.when(F.col("observed"), F.col("d").between(0, most_s * 1_000_000)).otherwise(F.col("d") > 0))
@@ -356,13 +358,11 @@ def _durations(ev: DataFrame, most_s: int = 480) -> DataFrame:
 def survival_curve(ev: DataFrame, horizon_s: int = 120) -> DataFrame:
     """(capture_id, t_us, at_risk, n_observed, survival): Kaplan-Meier up to the horizon."""
     n = _durations(ev).groupBy(KEY, F.col("d").alias("t_us")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("observed"), 1)).alias("n_observed"))
-    later = Window.partitionBy(KEY).orderBy(F.desc("t_us")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = n.withColumn("at_risk", F.sum("n").over(later)).where(F.col("t_us") <= horizon_s * 1_000_000)
-    curve = risk.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("t_us", "at_risk", "n_observed"))).alias("c"))
-    start = F.struct(F.lit(1.0).alias("s"), F.array().cast("array<double>").alias("all"))
-    step = lambda a, x: F.struct((a["s"] * (1 - x["n_observed"] / x["at_risk"])).alias("s"), F.array_append(a["all"], a["s"] * (1 - x["n_observed"] / x["at_risk"])).alias("all"))
-    s = curve.withColumn("s", F.aggregate("c", start, step)["all"])
-    return s.select(KEY, F.inline(F.arrays_zip("c", "s"))).select(KEY, "c.t_us", "c.at_risk", "c.n_observed", rounded("s").alias("survival"))
+    risk = running(n, KEY, "t_us", 1_000_000, descending=True, at_risk=F.col("n")).where(F.col("t_us") <= horizon_s * 1_000_000)
+    # the product of the shares that stay, as a sum of logarithms; a share of 0 is counted apart
+    stay = 1 - F.col("n_observed") / F.col("at_risk")
+    curve = running(risk, KEY, "t_us", 1_000_000, _ln=F.when(stay > 0, F.log(stay)).otherwise(0.0), _gone=F.when(stay > 0, 0).otherwise(1))
+    return curve.select(KEY, "t_us", "at_risk", "n_observed", rounded(F.when(F.col("_gone") > 0, 0.0).otherwise(F.exp("_ln"))).alias("survival"))
 
 
 def survival_summary(ev: DataFrame) -> DataFrame:
@@ -376,12 +376,14 @@ def survival_summary(ev: DataFrame) -> DataFrame:
 def telemetry_intervals(ev: DataFrame) -> DataFrame:
     """(capture_id, category, n, median_interval_s) of self_surv, presence and notif_seen; zero gaps don't count."""
     kinds = ["self_surv", "presence", "notif_seen"]
-    out = None
+    gaps = None
     for kind in kinds:
         seq = framed(reindex(ev, is_in([kind])).select(KEY, "pos", "category", "ts_us"), 1, 0, _gap=lambda w: F.col("ts_us") - F.lag("ts_us").over(w))
-        one = seq.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.when(F.col("_gap") > 0, F.col("_gap")), F.lit(0.5)).alias("_m"))
-        out = one if out is None else out.unionByName(one)
-    return out.select(KEY, "category", "n", rounded(F.coalesce(F.col("_m"), F.lit(-1e6)) / 1e6).alias("median_interval_s"))
+        gaps = seq if gaps is None else gaps.unionByName(seq)
+    gaps = materialise(gaps.select(KEY, "category", F.when(F.col("_gap") > 0, F.col("_gap")).alias("_gap")), "gaps")
+    n = gaps.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("n"))
+    m = exact_medians(gaps, [KEY, "category"], "_gap", 1_000_000, "_m")
+    return n.join(m, [KEY, "category"], "left").select(KEY, "category", "n", rounded(F.coalesce(F.col("_m"), F.lit(-1e6)) / 1e6).alias("median_interval_s"))
 
 
 def telemetry_behaviour(ev: DataFrame, seconds: int = 30) -> DataFrame:
@@ -438,10 +440,10 @@ def _scored(seq: DataFrame, train: Column, test: Column, extra: list[str] | None
     rank = F.row_number().over(Window.partitionBy(KEY, *extra, "state").orderBy(F.desc("n"), "to_state"))
     top = n.withColumn("rank", rank).where("rank <= 3").groupBy(KEY, *extra, "state").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "to_state"))), lambda r: r["to_state"]).alias("top"))
     vocab = seq.groupBy(KEY).agg(F.sort_array(F.collect_set("state")).alias("_all"))
-    tested = pairs.where(test).join(top, [KEY, *extra, "state"], "left").join(vocab, KEY)
+    tested = beside(pairs.where(test).join(top, [KEY, *extra, "state"], "left"), vocab.join(_mode(seq), KEY))
     rest = F.slice(F.array_except("_all", F.coalesce("top", F.array().cast("array<string>"))), 1, 3)
     best = F.slice(F.concat(F.coalesce("top", F.array().cast("array<string>")), rest), 1, 3)
-    return tested.select(KEY, *extra, "to_state", best.alias("best"))
+    return tested.select(KEY, *extra, "to_state", "mode", best.alias("best"))
 
 
 def _mode(seq: DataFrame) -> DataFrame:
@@ -454,7 +456,7 @@ def markov_holdout(ev: DataFrame, share: float = 0.8, state: str = "route") -> D
     """(capture_id, n, n_right, n_top3, n_mode): the last part of each sequence, predicted from the first."""
     seq = per_capture(_predictable(ev, state), _n=F.count(F.lit(1)))
     split = F.floor(F.col("_n") * F.lit(share)).cast("bigint")
-    s = _scored(seq, F.col("pos") + 1 < split, F.col("pos") >= split).join(_mode(seq), KEY)
+    s = _scored(seq, F.col("pos") + 1 < split, F.col("pos") >= split)
     return s.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("best")[0] == F.col("to_state"), 1)).alias("n_right"), F.count(F.when(F.array_contains("best", F.col("to_state")), 1)).alias("n_top3"), F.count(F.when(F.col("mode") == F.col("to_state"), 1)).alias("n_mode"))
 
 
@@ -466,7 +468,7 @@ def markov_cross_validation(ev: DataFrame, folds: int = 5, state: str = "route")
     end = chunk * F.col("fold")
     # the fold is part of the key, so that the copies of a sequence stay apart
     keyed = seq.select(F.struct(KEY, "fold").alias(KEY), "pos", "state", (F.col("pos") + 1 < end).alias("_train"), ((F.col("pos") >= end) & (F.col("pos") + 1 < end + chunk)).alias("_test"))
-    s = _scored(keyed, F.col("_train"), F.col("_test")).join(_mode(keyed), KEY)
+    s = _scored(keyed, F.col("_train"), F.col("_test"))
     out = s.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("best")[0] == F.col("to_state"), 1)).alias("n_right"), F.count(F.when(F.col("mode") == F.col("to_state"), 1)).alias("n_mode"))
     return out.select(f"{KEY}.{KEY}", f"{KEY}.fold", "n", "n_right", "n_mode")
 

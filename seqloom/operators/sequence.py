@@ -103,3 +103,21 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str], applie
     on = [src[n].eqNullSafe(best[n]) for n in names]
     first = src.where(applies).join(best, [*on, src["_o"] == best["_best"]], "left_semi")
     return first.unionByName(src.where(~applies)).select(*df.columns)
+
+
+#: Parts over which a long sequence's rows are spread when they meet their capture's one row.
+PARTS = 64
+
+
+def beside(df: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
+    """Join the one row that ``per`` has of each capture to the capture's rows.
+
+    The rows of a capture meet it in parts by block, so a capture with a third of all rows is many
+    join keys; the one row is repeated for as many parts as the capture has, which is one for nearly
+    all.  ``per`` may bring the capture's greatest position as ``_top``.
+    """
+    if "_top" not in per.columns:
+        per = per.join(df.groupBy(KEY).agg(F.max(POS).alias("_top")), KEY)
+    part = F.pmod(F.floor(F.col(POS) / BLOCK), F.lit(PARTS))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(PARTS - 1), F.floor(F.col("_top") / BLOCK)))
+    return df.withColumn("_part", part).join(per.withColumn("_part", F.explode(parts)).drop("_top"), [KEY, "_part"], how).drop("_part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.ordered import numbered
+from seqloom.operators.sequence import last_before
 from seqloom.session import broadcast_if_small
 from seqloom.sources.tables import table
 
@@ -31,11 +33,11 @@ def join_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_last_event(spark: SparkSession, d: str) -> DataFrame:
-    """Each error with the latest click of its user before it: one sort per user, no join."""
+    """Each error with the latest click of its user before it: an as-of join by one look back, in blocks."""
     ev = table(spark, d, "events", "event_id", "ts", "user_id", "event_type").where(F.col("event_type").isin("error", "click"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return ev.withColumn("click_id", F.coalesce(last, F.lit(-1))).where("event_type = 'error'").select("event_id", "click_id")
+    ev = ev.select(F.col("user_id").alias("capture_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", "event_type")
+    back = last_before(numbered(ev, "capture_id", "ts_us", "event_id"), F.when(F.col("event_type") == "click", F.col("event_id")), "click_id")
+    return back.where("event_type = 'error'").select("event_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"))
 
 
 def cube_segment_status(spark: SparkSession, d: str) -> DataFrame:

@@ -31,16 +31,22 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
     return spark
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (a local session in tests) is a temporary folder made.
+    A local session that leaves it unset gets a temporary folder; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext.applicationId not in _local:
+        _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="seqloom-")
+    return _local[spark.sparkContext.applicationId]
 
 
 _scratch: set[str] = set()

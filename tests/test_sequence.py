@@ -68,3 +68,26 @@ def test_keep_first(spark):
 def test_a_look_beyond_a_block_is_refused(spark):
     with pytest.raises(ValueError):
         S.framed(events(spark, random.Random(1), 5)[1], 9, 0)
+
+
+def test_running_medians_and_one_row_beside(spark):
+    import statistics
+
+    from seqloom.operators.ordered import exact_medians, running
+
+    rng = random.Random(11)
+    rows = [(rng.choice("aab"), t, rng.choice([None, rng.randrange(50)])) for t in range(300)]
+    df = spark.createDataFrame(rows, "capture_id string, t bigint, v bigint").repartition(5)
+    for descending in (False, True):
+        got = {r["t"]: r["s"] for r in running(df, "capture_id", "t", 17, descending, s=F.col("v")).collect()}
+        for c in "ab":
+            total = 0
+            for _, t, v in sorted((r for r in rows if r[0] == c), key=lambda r: r[1], reverse=descending):
+                total += v or 0
+                assert got[t] == total
+    got = {r["capture_id"]: r["median"] for r in exact_medians(df, ["capture_id"], "v", 3).collect()}
+    assert got == {c: statistics.median(v for k, _, v in rows if k == c and v is not None) for c in "ab"}
+    assert exact_medians(df.limit(0), ["capture_id"], "v", 3).collect() == []
+    pos = numbered(df, "capture_id", "t", "t")
+    out = S.beside(pos, pos.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))).collect()
+    assert len(out) == 300 and all(r["n"] == sum(x[0] == r["capture_id"] for x in rows) for r in out)
