@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import findings as G
 from seqloom.operators import panels as P
 from seqloom.operators.canonical import canonical
 from seqloom.operators.sequence import segments
@@ -146,6 +147,20 @@ c AS (SELECT z.capture_id, pos, seq, {_R.format('''CASE WHEN gap > 0 THEN ln(1 +
 r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, pos) AS rank FROM c) SELECT capture_id, rank, seq, score FROM r WHERE rank <= 10"""),
     "decoder_coverage": (P.coverage, ("friendly", "decoded"), f"""{BASE} SELECT capture_id, count(*) FILTER (trim(friendly) <> '') AS n_named, count(*) FILTER (trim(friendly) <> '' AND decoded) AS n_decoded, count(*) FILTER (coalesce(trim(friendly), '') = '') AS n_nameless FROM ev GROUP BY capture_id"""),
     "unmatched_topk": (P.unmatched, ("friendly", "decoded"), f"""{BASE} SELECT friendly, count(*) AS n, CASE WHEN friendly LIKE '%Mutation' THEN 'MUT' WHEN friendly LIKE '%Query' THEN 'QRY' ELSE '?' END AS tag FROM ev WHERE NOT coalesce(decoded, false) AND trim(friendly) <> '' GROUP BY friendly ORDER BY n DESC, friendly LIMIT 50"""),
+    "finding_view_change": (G.view_change, (), f"""{BASE}, {_least('ev', 'l', "count(*) FILTER (category IN ('act', 'compose', 'msg')) >= 3")}, a AS (SELECT capture_id, pos AS ap, unnest(range(-10, 11)) AS o FROM l WHERE category IN ('act', 'compose', 'msg')),
+j AS (SELECT a.capture_id, a.o, count(*) FILTER (l.category = 'view') / count(*) AS s, count(*) FILTER (l.category = 'view') AS nv FROM a JOIN l ON l.capture_id = a.capture_id AND l.pos = a.ap + a.o WHERE a.o <> 0 GROUP BY ALL),
+m AS (SELECT capture_id, coalesce(sum(s) FILTER (o < 0), 0) / 10 AS b, coalesce(sum(s) FILTER (o > 0), 0) / 10 AS f FROM j GROUP BY capture_id HAVING sum(nv) > 0), p AS (SELECT capture_id, b, f, round(CASE WHEN b > 0 THEN (f - b) / b * 100 ELSE 0.0 END, 4) + 0.0 AS change_pct FROM m)
+SELECT capture_id, {_R.format('b')} AS before, {_R.format('f')} AS after, change_pct, CASE WHEN change_pct > 5 THEN 'up' WHEN change_pct < -5 THEN 'down' ELSE 'flat' END AS direction FROM p"""),
+    "finding_strongest_pull": (G.strongest_pull, (), f"""{BASE}, p AS (SELECT capture_id, route, surface, lead(route) OVER w AS r2, lead(surface) OVER w AS s2 FROM ev WINDOW w AS (PARTITION BY capture_id ORDER BY pos)), c AS (SELECT capture_id, route, r2, count(*) AS n FROM p WHERE surface IS NOT NULL AND s2 IS NOT NULL GROUP BY ALL),
+k AS (SELECT capture_id FROM ev WHERE surface IS NOT NULL GROUP BY capture_id HAVING count(DISTINCT route) >= 2), q AS (SELECT *, n / sum(n) OVER (PARTITION BY capture_id, route) AS p FROM c WHERE capture_id IN (SELECT capture_id FROM k)),
+b AS (SELECT *, row_number() OVER (PARTITION BY capture_id, route ORDER BY p DESC, r2) AS i FROM q), t AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY p DESC, route) AS j FROM b WHERE i = 1 AND r2 <> route AND p > 0.2) SELECT capture_id, route AS from_route, r2 AS to_route, {_R.format('p')} AS p FROM t WHERE j = 1"""),
+    "finding_leading_hooks": (G.leading_hooks, (), f"""{BASE}, {_HOOKS}, a AS (SELECT capture_id, pos AS ap, unnest(range(-5, 0)) AS o FROM s WHERE category IN {_ACT}), b AS (SELECT a.capture_id, s.category, count(*) AS nb FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = ap + o GROUP BY ALL),
+t AS (SELECT capture_id, category, count(*) AS n FROM s GROUP BY ALL), q AS (SELECT capture_id, category, coalesce(nb, 0) / greatest(sum(coalesce(nb, 0)) OVER w, 1) AS pb, n / sum(n) OVER w AS p0 FROM t LEFT JOIN b USING (capture_id, category) WINDOW w AS (PARTITION BY capture_id)),
+l AS (SELECT capture_id, category, {_R.format('CASE WHEN p0 > 0.005 THEN pb / p0 ELSE 1.0 END::DOUBLE')} AS lift FROM q) SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY lift DESC, category) AS rank, category, lift FROM l WHERE category NOT IN ('nav', 'self_surv', 'presence', 'notif_seen')"""),
+    "finding_ad_gap": (G.ad_gap, (), f"""{BASE}, {_sub(f'category IN {_ADS}', 's0')}, {_least('s0', 's', 'count(*) >= 50', "count(*) FILTER (category = 'ad') >= 3")}, a AS (SELECT capture_id, pos, category = 'ad' AS ad, unnest(range(1, 11)) AS k FROM s),
+j AS (SELECT a.capture_id, a.k, count(*) FILTER (ad) AS n, count(*) FILTER (ad AND s.category IN {_ACT}) AS n1, count(*) AS m, count(*) FILTER (s.category IN {_ACT}) AS m1 FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = a.pos + a.k GROUP BY ALL),
+c AS (SELECT capture_id, {_R.format('1 - product(1 - CASE WHEN n > 0 THEN n1 / n ELSE 0.0 END)')} AS after_ad, {_R.format('1 - product(1 - m1 / m)')} AS base FROM j GROUP BY capture_id), g AS (SELECT *, {_R.format('after_ad - base')} AS gap FROM c) SELECT capture_id, after_ad, base, gap, CASE WHEN gap > 0.02 THEN 'up' WHEN gap < -0.02 THEN 'down' ELSE 'flat' END AS direction FROM g"""),
+    "finding_revision_shift": (G.revision_shift, (), None),
 }
 
 
