@@ -15,7 +15,9 @@ def json_object(line: Column | str, fields: tuple[str, ...]) -> Column:
     are never materialised.
     """
     c = F.col(line) if isinstance(line, str) else line
-    schema = ", ".join(f"`{f}` string" for f in fields) + ", `_broken` string"
-    parsed = F.from_json(c, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "false"})
+    # a reader stops at the end of the first value; inside an array of an object what follows is an error
+    schema = "x array<struct<" + ", ".join(f"`{f}`: string" for f in fields) + ">>, `_broken` string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+    parsed = F.from_json(F.concat(F.lit('{"x":['), c, F.lit("]}")), schema, options)
     is_object = stripped(c).startswith("{") & stripped(c).endswith("}")
-    return F.when(is_object & parsed["_broken"].isNull(), parsed)
+    return F.when(is_object & parsed["_broken"].isNull() & (F.size(parsed["x"]) == 1), parsed["x"][0])

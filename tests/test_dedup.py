@@ -26,7 +26,7 @@ def ident_of(cap, line):
     return (cap or "", get("__user"), get("__crn"), get("fb_api_req_friendly_name"), second, int(req, 36)) if ok else ()
 
 
-LINES = ["", None, "{bad", "[1,2]", "null", '{"__type":"hello","__crn":"x","__req":"1"}', '{"__kind":"input","__crn":"x","__req":"1"}', '{"__crn":" ","__req":"1"}', '{"__crn":"r"', '{"__crn":"r","__req":"1"} x', '{"a":1}']
+LINES = ["", None, "{bad", "[1,2]", "null", '{"__type":"hello","__crn":"x","__req":"1"}', '{"__kind":"input","__crn":"x","__req":"1"}', '{"__crn":" ","__req":"1"}', '{"__crn":"r"', '{"__crn":"r","__req":"1"} x', '{"__crn":"r","__req":"1"} {"b":2}', '{"__crn":"r","__req":"1"}}', '{"__crn":"r","__req":"1"},{"__crn":"r","__req":"1"}', "{'__crn':'r','__req':'1'}", '{"__crn":"r","__req":"1",}', '{"a":1}']
 
 
 def random_lines(rng, n):
