@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.canonical import CATEGORIES
 from seqloom.operators.panels import KEY, bursts, dominant_period, hook_lift, hover_conversion, markov_cross_validation, rounded
+from seqloom.session import materialise
 
 
 def capture_summary(ev: DataFrame) -> DataFrame:
@@ -20,6 +21,7 @@ def capture_summary(ev: DataFrame) -> DataFrame:
 
 def summary_vector(ev: DataFrame, seconds: int = 60) -> DataFrame:
     """(capture_id, n, dominant_period_min, n_bursts, hover_lift, cv_route_mean): one row per capture, 0 where a panel has too little."""
+    ev = materialise(ev, "sequence")  # four panels read it
     base = ev.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
     period = dominant_period(ev, seconds).select(KEY, (F.col("seconds") / 60).alias("dominant_period_min"))
     burst = bursts(ev, seconds).groupBy(KEY).agg(F.count(F.lit(1)).alias("n_bursts"))
@@ -27,7 +29,7 @@ def summary_vector(ev: DataFrame, seconds: int = 60) -> DataFrame:
     cv = markov_cross_validation(ev).groupBy(KEY).agg(rounded(F.avg(F.col("n_right") / F.col("n"))).alias("cv_route_mean"))
     out = base
     for side in (period, burst, hover, cv):
-        out = out.join(side, KEY, "left")
+        out = out.join(materialise(side, "summary"), KEY, "left")  # one row per capture each; planned together they plan for minutes
     return out.select(KEY, "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dominant_period_min", "n_bursts", "hover_lift", "cv_route_mean")))
 
 

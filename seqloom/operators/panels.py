@@ -193,32 +193,32 @@ def rhythm_by_category(ev: DataFrame, seconds: int = 60) -> DataFrame:
     return src.groupBy(KEY, "bucket", "category").agg(F.sum(times).cast("bigint").alias("n"))
 
 
-def _median(values: Column) -> Column:
-    """The median of an array of (v, c) structs in order of v, each standing for c values."""
-    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
-    at = lambda k: F.aggregate(values, start, lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["c"] > k), x["v"]).otherwise(a["v"]).alias("v")))["v"]
-    return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+def _weighted_median(rows: DataFrame, out: str) -> DataFrame:
+    """(capture_id, out) from a histogram (capture_id, v, c) in which ``v`` stands for ``c`` values."""
+    w = Window.partitionBy(KEY)
+    cum = rows.withColumns({"_cum": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("c").over(w)})
+    at = lambda k: F.min(F.when(F.col("_cum") > k, F.col("v")))
+    return cum.groupBy(KEY).agg(((at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2).alias(out))
 
 
 def bursts(ev: DataFrame, seconds: int = 60, k: float = 3.5) -> DataFrame:
     """(capture_id, bucket, n, median, mad, threshold): buckets above median + k / 0.6745 * MAD.
 
     Where MAD is 0 the sample deviation / 1.4826 takes its place; fewer than 5 busy buckets have no
-    bursts.  Medians come from the histogram of counts, in which the empty buckets are one entry, so
-    these are never made.
+    bursts.  Medians come from the histogram of counts, in which the empty buckets are one row, so
+    these are never made; a capture has as many rows there as it has different counts.
     """
     busy = materialise(_busy(ev, seconds), "buckets")
-    entry = F.struct(F.col("n").cast("double").alias("v"), F.col("c"))
-    h = busy.groupBy(KEY, "n").agg(F.count(F.lit(1)).alias("c"), F.max("n_buckets").alias("n_buckets"))
-    h = h.groupBy(KEY).agg(F.collect_list(F.when(F.col("n") > 0, entry)).alias("h"), F.max("n_buckets").alias("nb"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("busy"), F.sum(F.col("n") * F.col("c")).alias("s1"), F.sum(F.col("n") * F.col("n") * F.col("c")).alias("s2"))  # distinct counts only
-    empty = F.struct(F.lit(0.0).alias("v"), (F.col("nb") - F.col("busy")).alias("c"))
-    h = h.where("busy >= 5").withColumn("h", F.array_sort(F.filter(F.array_append("h", empty), lambda x: x["c"] > 0)))
-    h = h.withColumn("median", _median(F.col("h")))
-    h = h.withColumn("mad", _median(F.array_sort(F.transform("h", lambda x: F.struct(F.abs(x["v"] - F.col("median")).alias("v"), x["c"].alias("c"))))))
+    some = F.when(F.col("n") > 0, 1)
+    per = busy.groupBy(KEY).agg(F.max("n_buckets").alias("nb"), F.count(some).alias("busy"), F.sum("n").alias("s1"), F.sum(F.col("n") * F.col("n")).alias("s2")).where("busy >= 5")
+    empty = per.select(KEY, F.lit(0.0).alias("v"), (F.col("nb") - F.col("busy")).alias("c")).where("c > 0")
+    h = busy.where("n > 0").groupBy(KEY, F.col("n").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).join(per.select(KEY), KEY, "left_semi").unionByName(empty)
+    h = materialise(h, "histogram")
+    median = _weighted_median(h, "median")
+    mad = _weighted_median(h.join(median, KEY).select(KEY, F.abs(F.col("v") - F.col("median")).alias("v"), "c"), "mad")
     sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("nb")) / (F.col("nb") - 1))
-    h = h.select(KEY, "median", "mad", (F.col("median") + F.lit(k / 0.6745) * F.when(F.col("mad") == 0, sd / F.lit(1.4826)).otherwise(F.col("mad"))).alias("threshold"))
-    return beside(busy.withColumn("pos", F.col("bucket")), h).where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
+    limits = per.join(median, KEY).join(mad, KEY).select(KEY, "median", "mad", (F.col("median") + F.lit(k / 0.6745) * F.when(F.col("mad") == 0, sd / F.lit(1.4826)).otherwise(F.col("mad"))).alias("threshold"))
+    return beside(busy.withColumn("pos", F.col("bucket")), limits).where("n > threshold and n > 0").select(KEY, "bucket", "n", "median", "mad", rounded("threshold").alias("threshold"))
 
 
 def bucket_trend(ev: DataFrame, seconds: int = 60) -> DataFrame:
