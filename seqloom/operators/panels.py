@@ -142,15 +142,18 @@ def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, re
     look = materialise(look, "look")
     obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.sum(F.when(F.col("is_action"), F.col("c"))).alias("oc"), F.sum(F.when(F.col("is_action"), F.col("d"))).alias("od"))
     drawn = beside(look.where("pos >= 1"), obs.select(KEY, "a")).select(KEY, "pos", "c", "d", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("pos").cast("string")))).withColumn("part", F.substring("h", 1, 3))
+    hashed = F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("pos").cast("string")))
+    drawn = drawn.withColumn("part", F.substring(hashed, 1, 3))
     # the smallest hashes are found by hash prefix: whole prefixes first, then ranks in the one that is split
     parts = drawn.groupBy(KEY, "r", "part", "a").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("rc"), F.sum("d").alias("rd"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(KEY, "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("left", F.col("a") - below)
     whole = parts.where("n <= left").select(KEY, "r", "rc", "rd")
-    split = drawn.join(parts.where("n > left and left > 0").select(KEY, "r", "part", "left"), [KEY, "r", "part"])
+    # the split prefix of each resample goes beside the capture's rows, so that only rows within it move
+    edge = parts.where("n > left and left > 0").groupBy(KEY).agg(F.collect_list(F.struct("r", "part", "left")).alias("edges"))
+    near = beside(look.where("pos >= 1"), edge).select(KEY, "pos", "c", "d", F.inline("edges")).withColumn("h", hashed)
     rank = F.row_number().over(Window.partitionBy(KEY, "r").orderBy("h", "pos"))
-    split = split.withColumn("k", rank).where("k <= left").select(KEY, "r", F.col("c").alias("rc"), F.col("d").cast("bigint").alias("rd"))
+    split = near.where(F.col("h").startswith(F.col("part"))).withColumn("k", rank).where("k <= left").select(KEY, "r", F.col("c").alias("rc"), F.col("d").cast("bigint").alias("rd"))
     sums = whole.unionByName(split).groupBy(KEY, "r").agg(F.sum("rc").alias("rc"), F.sum("rd").alias("rd"))
     test = sums.join(obs, KEY)
     # the base share is the same on both sides, so shares among predecessors compare as products
