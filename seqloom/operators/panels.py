@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import draws
 from seqloom.operators.canonical import ACTIONS, BEHAVIOUR, CATEGORIES, SYSTEM
 from seqloom.operators.ordered import exact_medians, running
-from seqloom.operators.sequence import beside, framed, last_before, next_match, reindex
+from seqloom.operators.sequence import BLOCK, beside, framed, last_before, next_match, reindex
 from seqloom.session import materialise
 
 KEY = "capture_id"
@@ -129,36 +130,58 @@ def hook_lift(ev: DataFrame, lookback: int = 5) -> DataFrame:
     return n.select(KEY, "category", "n_before", "n_base", rounded(F.when(p_base > 0.005, p_before / p_base).otherwise(F.lit(1.0))).alias("lift"))
 
 
-def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, resamples: int = 50) -> DataFrame:
+def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, resamples: int = 500) -> DataFrame:
     """(capture_id, n_ge, p): one-sided resampling test of the lift of ``category``.
 
     Resample ``r`` takes as actions the positions from 1 on with the smallest ``md5(r:pos)``, as many
     as there are actions.  As each position knows how many of its predecessors are of the category, a
-    resample is two sums.
+    resample is two sums over blocks of positions.  A capture of one block is tested where it lies;
+    longer ones first get the greatest digest of each resample, which their length and number of
+    actions determine, and then add up their blocks.
     """
+    categories = [category]
     base = _hook_base(ev)
-    look = framed(base, lookback, 0, c=lambda w: F.count(F.when(is_in([category]), 1)).over(w.rowsBetween(-lookback, -1)))
-    look = look.select(KEY, "pos", is_in(ACTIONS).alias("is_action"), "c", F.least("pos", F.lit(lookback)).alias("d"))
+    names = [f"c{i}" for i in range(len(categories))]
+    look = framed(base, lookback, 0, **{c: (lambda w, name=name: F.count(F.when(is_in([name]), 1)).over(w.rowsBetween(-lookback, -1))) for c, name in zip(names, categories)})
+    look = look.select(KEY, "pos", is_in(ACTIONS).alias("is_action"), *names, F.least("pos", F.lit(lookback)).alias("d"))
     look = materialise(look, "look")
-    obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.sum(F.when(F.col("is_action"), F.col("c"))).alias("oc"), F.sum(F.when(F.col("is_action"), F.col("d"))).alias("od"))
-    drawn = beside(look.where("pos >= 1"), obs.select(KEY, "a")).select(KEY, "pos", "c", "d", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    hashed = F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("pos").cast("string")))
-    drawn = drawn.withColumn("part", F.substring(hashed, 1, 3))
-    # the smallest hashes are found by hash prefix: whole prefixes first, then ranks in the one that is split
-    parts = drawn.groupBy(KEY, "r", "part", "a").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("rc"), F.sum("d").alias("rd"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(KEY, "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("left", F.col("a") - below)
-    whole = parts.where("n <= left").select(KEY, "r", "rc", "rd")
-    # the split prefix of each resample goes beside the capture's rows, so that only rows within it move
-    edge = parts.where("n > left and left > 0").groupBy(KEY).agg(F.collect_list(F.struct("r", "part", "left")).alias("edges"))
-    near = beside(look.where("pos >= 1"), edge).select(KEY, "pos", "c", "d", F.inline("edges")).withColumn("h", hashed)
-    rank = F.row_number().over(Window.partitionBy(KEY, "r").orderBy("h", "pos"))
-    split = near.where(F.col("h").startswith(F.col("part"))).withColumn("k", rank).where("k <= left").select(KEY, "r", F.col("c").alias("rc"), F.col("d").cast("bigint").alias("rd"))
-    sums = whole.unionByName(split).groupBy(KEY, "r").agg(F.sum("rc").alias("rc"), F.sum("rd").alias("rd"))
-    test = sums.join(obs, KEY)
-    # the base share is the same on both sides, so shares among predecessors compare as products
-    ge = F.col("rc") * F.greatest("od", F.lit(1)) >= F.col("oc") * F.greatest("rd", F.lit(1))
-    return test.groupBy(KEY).agg(F.count(F.when(ge, 1)).alias("n_ge")).select(KEY, "n_ge", rounded((F.col("n_ge") + 1) / F.lit(float(resamples + 1))).alias("p"))
+    width = len(names) + 1
+    taken = lambda c: F.sum(F.when(F.col("is_action"), F.col(c))).cast("bigint")
+    obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.max("pos").alias("_top"), F.array(*map(taken, [*names, "d"])).alias("o"))
+    obs = materialise(obs, "observed")
+    block = F.floor(F.col("pos") / BLOCK).cast("bigint")
+    packed = look.groupBy(KEY, (block * BLOCK).alias("pos")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.array(*(F.col(c).cast("int") for c in [*names, "d"])).alias("v")))), lambda s: s["v"])).alias("v"))
+    tasks = 4 * int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @F.pandas_udf("array<bigint>")
+    def within(v: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([draws.sums(np.asarray(x).reshape(-1, width), 0, resamples, int(k), None, BLOCK).ravel() for x, k in zip(v, a)])
+
+    @F.pandas_udf("array<bigint>")
+    def below(v: pd.Series, pos: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([draws.sums(np.asarray(x).reshape(-1, width), int(at), resamples, 0, np.asarray(m, np.int64).view(np.uint64), BLOCK).ravel() for x, at, m in zip(v, pos, limits)])
+
+    @F.pandas_udf("bigint")
+    def limit(r: pd.Series, top: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series(np.array([draws.limit(int(i), int(n) + 1, min(int(k), int(n))) for i, n, k in zip(r, top, a)], np.uint64).view(np.int64))
+
+    @F.pandas_udf("array<bigint>")
+    def reached(s: pd.Series, o: pd.Series) -> pd.Series:
+        # the base share is the same on both sides, so shares among predecessors compare as products
+        out = []
+        for x, y in zip(s, o):
+            x, y = np.asarray(x).reshape(-1, width), np.asarray(y)
+            out.append((x[:, :-1] * max(y[-1], 1) >= y[:-1] * np.maximum(x[:, -1:], 1)).sum(axis=0))
+        return pd.Series(out)
+
+    short = packed.join(obs.where(F.col("_top") < BLOCK), KEY).repartition(tasks, KEY).select(KEY, within("v", "a").alias("s"), "o")
+    long = obs.where(F.col("_top") >= BLOCK)
+    drawn = long.select(KEY, "_top", "a", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).repartition(tasks, KEY, "r").withColumn("m", limit("r", "_top", "a"))
+    limits = drawn.groupBy(KEY, "_top").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "m"))), lambda s: s["m"]).alias("m"))
+    parts = beside(packed, limits).repartition(tasks, KEY, "pos").select(KEY, F.posexplode(below("v", "pos", "m")).alias("i", "s"))
+    added = parts.groupBy(KEY, "i").agg(F.sum("s").alias("s")).groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda s: s["s"]).alias("s"))
+    tests = short.unionByName(added.join(long.select(KEY, "o"), KEY)).withColumn("n_ge", reached("s", "o")[0])
+    return tests.select(KEY, "n_ge", rounded((F.col("n_ge") + 1) / F.lit(float(resamples + 1))).alias("p"))
 
 
 # -- rhythm --------------------------------------------------------------------------------------------

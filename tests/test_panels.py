@@ -106,6 +106,18 @@ def test_permutation_p_is_bounded(spark):
     assert 1 / 21 - 1e-6 <= p <= 1
 
 
+def test_permutation_p_of_a_strong_effect_is_below_a_hundredth(spark):
+    r = P.hook_permutation(seq(spark, "VVVVVVVVMAVV" * 12), lookback=1).collect()[0]
+    assert r["n_ge"] == 0 and r["p"] == pytest.approx(1 / 501, abs=1e-6)
+
+
+def test_permutation_of_many_blocks_is_that_of_one(spark, monkeypatch):
+    ev = seq(spark, "VVMVHVMAVVADMVS" * 9)
+    one = P.hook_permutation(ev, resamples=60).collect()
+    monkeypatch.setattr(P, "BLOCK", 16)
+    assert P.hook_permutation(ev, resamples=60).collect() == one and 0 < one[0]["n_ge"] < 60
+
+
 def test_first_passage_is_at_least_as_sure(spark):
     rows = P.action_probability(seq(spark, "VHVAVVHAVHDVVA" * 5)).collect()
     assert rows and all(0 <= r["p_marginal"] <= 1 and 0 <= r["p_first_passage"] <= 1 for r in rows)
