@@ -20,6 +20,7 @@ from seqloom.session import materialise
 KEY = "capture_id"
 RESPONSE = ["act", "compose", "msg"]  # without react
 WITH_ADS = [*BEHAVIOUR, "ad"]
+HOOKS = ["view", "hover", "ad", "search", "msg"]  # what may lead to an action
 
 
 def is_in(names: list[str]) -> Column:
@@ -130,24 +131,24 @@ def hook_lift(ev: DataFrame, lookback: int = 5) -> DataFrame:
     return n.select(KEY, "category", "n_before", "n_base", rounded(F.when(p_base > 0.005, p_before / p_base).otherwise(F.lit(1.0))).alias("lift"))
 
 
-def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, resamples: int = 500) -> DataFrame:
-    """(capture_id, n_ge, p): one-sided resampling test of the lift of ``category``.
+def hook_permutation(ev: DataFrame, lookback: int = 5, resamples: int = 500, least: int = 5) -> DataFrame:
+    """(capture_id, category, n_ge, p): one-sided resampling test of the lifts of view, hover, ad, search and msg.
 
+    Tested is what has a lift above 1 and at least ``least`` events; the categories share the resamples.
     Resample ``r`` takes as actions the positions from 1 on with the smallest ``md5(r:pos)``, as many
-    as there are actions.  As each position knows how many of its predecessors are of the category, a
-    resample is two sums over blocks of positions.  A capture of one block is tested where it lies;
+    as there are actions.  As each position knows how many of its predecessors are of each category, a
+    resample is a few sums over blocks of positions.  A capture of one block is tested where it lies;
     longer ones first get the greatest digest of each resample, which their length and number of
     actions determine, and then add up their blocks.
     """
-    categories = [category]
     base = _hook_base(ev)
-    names = [f"c{i}" for i in range(len(categories))]
-    look = framed(base, lookback, 0, **{c: (lambda w, name=name: F.count(F.when(is_in([name]), 1)).over(w.rowsBetween(-lookback, -1))) for c, name in zip(names, categories)})
-    look = look.select(KEY, "pos", is_in(ACTIONS).alias("is_action"), *names, F.least("pos", F.lit(lookback)).alias("d"))
+    names = [f"c{i}" for i in range(len(HOOKS))]
+    look = framed(base, lookback, 0, **{c: (lambda w, name=name: F.count(F.when(is_in([name]), 1)).over(w.rowsBetween(-lookback, -1))) for c, name in zip(names, HOOKS)})
+    look = look.select(KEY, "pos", "category", is_in(ACTIONS).alias("is_action"), *names, F.least("pos", F.lit(lookback)).alias("d"))
     look = materialise(look, "look")
     width = len(names) + 1
     taken = lambda c: F.sum(F.when(F.col("is_action"), F.col(c))).cast("bigint")
-    obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.max("pos").alias("_top"), F.array(*map(taken, [*names, "d"])).alias("o"))
+    obs = look.groupBy(KEY).agg(F.count(F.when(F.col("is_action"), 1)).alias("a"), F.max("pos").alias("_top"), F.array(*map(taken, [*names, "d"])).alias("o"), F.array(*(F.count(F.when(is_in([name]), 1)) for name in HOOKS)).alias("n_base"))
     obs = materialise(obs, "observed")
     block = F.floor(F.col("pos") / BLOCK).cast("bigint")
     packed = look.groupBy(KEY, (block * BLOCK).alias("pos")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.array(*(F.col(c).cast("int") for c in [*names, "d"])).alias("v")))), lambda s: s["v"])).alias("v"))
@@ -180,8 +181,13 @@ def hook_permutation(ev: DataFrame, category: str = "msg", lookback: int = 5, re
     limits = drawn.groupBy(KEY, "_top").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "m"))), lambda s: s["m"]).alias("m"))
     parts = beside(packed, limits).repartition(tasks, KEY, "pos").select(KEY, F.posexplode(below("v", "pos", "m")).alias("i", "s"))
     added = parts.groupBy(KEY, "i").agg(F.sum("s").alias("s")).groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda s: s["s"]).alias("s"))
-    tests = short.unionByName(added.join(long.select(KEY, "o"), KEY)).withColumn("n_ge", reached("s", "o")[0])
-    return tests.select(KEY, "n_ge", rounded((F.col("n_ge") + 1) / F.lit(float(resamples + 1))).alias("p"))
+    sums = short.unionByName(added.join(long.select(KEY, "o"), KEY)).select(KEY, F.posexplode(reached("s", "o")).alias("i", "n_ge"))
+    at = lambda c: F.get(c, F.col("i"))
+    n, before = F.col("_top") + 1, F.greatest(F.element_at("o", -1), F.lit(1))
+    # the lift of hook_lift, which is 1 up to a base share of 0.005, in whole numbers
+    tested = (at("n_base") >= least) & (at("n_base") * 200 > n) & (at("o") * n > at("n_base") * before)
+    rows = sums.join(obs, KEY).where(tested).withColumn("category", F.get(F.array(*map(F.lit, HOOKS)), F.col("i")))
+    return rows.select(KEY, "category", "n_ge", rounded((F.col("n_ge") + 1) / F.lit(float(resamples + 1))).alias("p"))
 
 
 # -- rhythm --------------------------------------------------------------------------------------------

@@ -102,9 +102,11 @@ SELECT *, sum(n) OVER (PARTITION BY capture_id, from_route)::BIGINT AS n_from FR
     "hook_lift": (P.hook_lift, (), f"""{BASE}, {_HOOKS}, a AS (SELECT capture_id, pos AS ap, unnest(range(-5, 0)) AS o FROM s WHERE category IN {_ACT}), b AS (SELECT a.capture_id, s.category, count(*) AS n_before FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = ap + o GROUP BY ALL),
 t AS (SELECT capture_id, category, count(*) AS n_base FROM s GROUP BY ALL), j AS (SELECT capture_id, category, coalesce(n_before, 0) AS n_before, n_base FROM t LEFT JOIN b USING (capture_id, category)), q AS (SELECT *, n_before / greatest(sum(n_before) OVER w, 1) AS pb, n_base / sum(n_base) OVER w AS p0 FROM j WINDOW w AS (PARTITION BY capture_id))
 SELECT capture_id, category, n_before, n_base, {_R.format('CASE WHEN p0 > 0.005 THEN pb / p0 ELSE 1.0 END::DOUBLE')} AS lift FROM q"""),
-    "hook_permutation_p": (P.hook_permutation, (), f"""{BASE}, {_HOOKS}, l AS (SELECT capture_id, pos, category IN {_ACT} AS act, count(*) FILTER (category = 'msg') OVER (PARTITION BY capture_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS c, least(pos, 5) AS d FROM s),
-o AS (SELECT capture_id, count(*) FILTER (act) AS a, sum(c) FILTER (act) AS oc, sum(d) FILTER (act) AS od FROM l GROUP BY capture_id), r AS (SELECT *, unnest(range(500)) AS r FROM l WHERE pos >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id, r ORDER BY md5(r || ':' || pos), pos) AS k FROM r),
-t AS (SELECT capture_id, r, sum(c) AS rc, sum(d) AS rd FROM k JOIN o USING (capture_id) WHERE k <= a GROUP BY ALL) SELECT capture_id, count(*) FILTER (rc * greatest(od, 1) >= oc * greatest(rd, 1)) AS n_ge, {_R.format('((count(*) FILTER (rc * greatest(od, 1) >= oc * greatest(rd, 1)) + 1) / 501.0)::DOUBLE')} AS p FROM t JOIN o USING (capture_id) GROUP BY capture_id"""),
+    "hook_permutation_p": (P.hook_permutation, (), f"""{BASE}, {_HOOKS}, l AS (SELECT capture_id, pos, category, category IN {_ACT} AS act, {', '.join(f"count(*) FILTER (category = '{c}') OVER w AS c_{c}" for c in P.HOOKS)}, least(pos, 5) AS d FROM s WINDOW w AS (PARTITION BY capture_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+o AS (SELECT capture_id, count(*) AS n, count(*) FILTER (act) AS a, sum(d) FILTER (act) AS od, {', '.join(f"sum(c_{c}) FILTER (act) AS o_{c}, count(*) FILTER (category = '{c}') AS b_{c}" for c in P.HOOKS)} FROM l GROUP BY capture_id), r AS (SELECT *, unnest(range(500)) AS r FROM l WHERE pos >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id, r ORDER BY md5(r || ':' || pos), pos) AS k FROM r),
+t AS (SELECT capture_id, r, sum(d) AS rd, {', '.join(f'sum(c_{c}) AS r_{c}' for c in P.HOOKS)} FROM k JOIN o USING (capture_id) WHERE k <= a GROUP BY ALL),
+x AS ({' UNION ALL '.join(f"SELECT capture_id, '{c}' AS category, n, b_{c} AS b, o_{c} AS oc, od, count(*) FILTER (r_{c} * greatest(od, 1) >= o_{c} * greatest(rd, 1)) AS n_ge FROM t JOIN o USING (capture_id) GROUP BY ALL" for c in P.HOOKS)})
+SELECT capture_id, category, n_ge, {_R.format('((n_ge + 1) / 501.0)::DOUBLE')} AS p FROM x WHERE b >= 5 AND b * 200 > n AND oc * n > b * greatest(od, 1)"""),
     "rhythm_buckets": (lambda ev: P.rhythm_buckets(ev, 900), (), f"{BASE}, {_buckets(900)} SELECT capture_id, bucket, n FROM bk"),
     "rhythm_bucket_category": (P.rhythm_by_category, (), f"""{BASE}, {_buckets(60)} SELECT capture_id, bucket, category, sum(CASE WHEN counts THEN 1 ELSE 0 END + CASE WHEN category IN {_SYS} THEN 1 ELSE 0 END)::BIGINT AS n FROM k GROUP BY ALL"""),
     "burst_buckets_mad": (P.bursts, (), f"""{BASE}, {_buckets(60)}, m AS (SELECT capture_id, median(n) AS median, stddev_samp(n) AS sd FROM bk GROUP BY capture_id HAVING count(*) FILTER (n > 0) >= 5), d AS (SELECT capture_id, median(abs(n - m.median)) AS mad FROM bk JOIN m USING (capture_id) GROUP BY capture_id),

@@ -113,9 +113,17 @@ def test_permutation_p_of_a_strong_effect_is_below_a_hundredth(spark):
 
 def test_permutation_of_many_blocks_is_that_of_one(spark, monkeypatch):
     ev = seq(spark, "VVMVHVMAVVADMVS" * 9)
-    one = P.hook_permutation(ev, resamples=60).collect()
+    one = sorted(P.hook_permutation(ev, resamples=60).collect())
     monkeypatch.setattr(P, "BLOCK", 16)
-    assert P.hook_permutation(ev, resamples=60).collect() == one and 0 < one[0]["n_ge"] < 60
+    assert sorted(P.hook_permutation(ev, resamples=60).collect()) == one and any(0 < r["n_ge"] < 60 for r in one)
+
+
+def test_permutation_tests_every_hook_with_a_lift(spark):
+    ev = seq(spark, "HAVVVVSAVVVVDAVVVVMAVVVV" * 6 + "H" * 3)
+    lift = {r["category"]: r["lift"] for r in P.hook_lift(ev, lookback=1).collect()}
+    p = {r["category"]: r["p"] for r in P.hook_permutation(ev, lookback=1).collect()}
+    assert set(p) == {"hover", "search", "ad", "msg"} == {c for c in P.HOOKS if lift[c] > 1} and max(p.values()) < 0.1
+    assert not P.hook_permutation(seq(spark, "VVVVVVHA" * 4), lookback=1).collect()  # four hovers are too few
 
 
 def test_first_passage_is_at_least_as_sure(spark):
