@@ -72,6 +72,10 @@ sc AS (SELECT {', '.join('te.' + c for c in k.split(', '))}, te.nxt, rk.rank, mo
 
 
 _R = "round({}, 6) + 0.0"
+_WELCH = f"""x AS (SELECT *, least(64, n_buckets) AS len, greatest(least(64, n_buckets) // 2, 1) AS step FROM dt),
+sg AS (SELECT DISTINCT capture_id, len, step, unnest(range((n_buckets - len) // step + 1)) AS seg FROM x), y AS (SELECT x.capture_id, sg.seg, x.len, x.bucket - sg.seg * x.step AS i, x.x - avg(x.x) OVER (PARTITION BY x.capture_id, sg.seg) AS z FROM x JOIN sg ON sg.capture_id = x.capture_id AND x.bucket >= sg.seg * x.step AND x.bucket < sg.seg * x.step + x.len),
+h AS (SELECT *, z * 0.5 * (1 - cos(2 * pi() * i / (len - 1))) AS w FROM y), f AS (SELECT capture_id, seg, len, k, (power(sum(w * cos(2 * pi() * k * i / len)), 2) + power(sum(w * sin(2 * pi() * k * i / len)), 2)) / len AS pw FROM (SELECT *, unnest(range(1, len // 2 + 1)) AS k FROM h) GROUP BY capture_id, seg, len, k)
+SELECT capture_id, k, {_R.format('len / k')} AS period, round(avg(pw), 4) + 0.0 AS power FROM f GROUP BY capture_id, len, k HAVING len / k >= 2"""
 
 
 def _segment_summary(ev: DataFrame) -> DataFrame:
@@ -107,18 +111,17 @@ o AS (SELECT capture_id, count(*) AS n, count(*) FILTER (act) AS a, sum(d) FILTE
 t AS (SELECT capture_id, r, sum(d) AS rd, {', '.join(f'sum(c_{c}) AS r_{c}' for c in P.HOOKS)} FROM k JOIN o USING (capture_id) WHERE k <= a GROUP BY ALL),
 x AS ({' UNION ALL '.join(f"SELECT capture_id, '{c}' AS category, n, b_{c} AS b, o_{c} AS oc, od, count(*) FILTER (r_{c} * greatest(od, 1) >= o_{c} * greatest(rd, 1)) AS n_ge FROM t JOIN o USING (capture_id) GROUP BY ALL" for c in P.HOOKS)})
 SELECT capture_id, category, n_ge, {_R.format('((n_ge + 1) / 501.0)::DOUBLE')} AS p FROM x WHERE b >= 5 AND b * 200 > n AND oc * n > b * greatest(od, 1)"""),
-    "rhythm_buckets": (lambda ev: P.rhythm_buckets(ev, 900), (), f"{BASE}, {_buckets(900)} SELECT capture_id, bucket, n FROM bk"),
+    "rhythm_buckets": (P.rhythm_buckets, (), f"{BASE}, {_buckets(60)} SELECT capture_id, bucket, n FROM bk"),
+    "rhythm_buckets_900s": (lambda ev: P.rhythm_buckets(ev, 900), (), f"{BASE}, {_buckets(900)} SELECT capture_id, bucket, n FROM bk"),
     "rhythm_bucket_category": (P.rhythm_by_category, (), f"""{BASE}, {_buckets(60)} SELECT capture_id, bucket, category, sum(CASE WHEN counts THEN 1 ELSE 0 END + CASE WHEN category IN {_SYS} THEN 1 ELSE 0 END)::BIGINT AS n FROM k GROUP BY ALL"""),
     "burst_buckets_mad": (P.bursts, (), f"""{BASE}, {_buckets(60)}, m AS (SELECT capture_id, median(n) AS median, stddev_samp(n) AS sd FROM bk GROUP BY capture_id HAVING count(*) FILTER (n > 0) >= 5), d AS (SELECT capture_id, median(abs(n - m.median)) AS mad FROM bk JOIN m USING (capture_id) GROUP BY capture_id),
 t AS (SELECT capture_id, bucket, n, median, mad, median + (3.5 / 0.6745)::DOUBLE * CASE WHEN mad = 0 THEN sd / 1.4826 ELSE mad END AS threshold FROM bk JOIN m USING (capture_id) JOIN d USING (capture_id)) SELECT capture_id, bucket, n, median, mad, {_R.format('threshold')} AS threshold FROM t WHERE n > threshold AND n > 0"""),
     "bucket_trend": (P.bucket_trend, (), f"{BASE}, {_buckets(60)}, {_TREND} SELECT capture_id, n_buckets, round(slope, 9) + 0.0 AS slope, {_R.format('intercept')} AS intercept FROM tr"),
     "bucket_autocorr": (P.autocorrelation, (), f"""{BASE}, {_buckets(60)}, {_TREND}, v AS (SELECT capture_id, sum(x * x) AS ss FROM dt GROUP BY capture_id), lg AS (SELECT dt.*, unnest(range(least(60, n_buckets // 2))) AS lag FROM dt),
 c AS (SELECT lg.capture_id, lg.lag, sum(lg.x * b.x) AS s FROM lg JOIN dt b ON b.capture_id = lg.capture_id AND b.bucket = lg.bucket + lg.lag GROUP BY ALL) SELECT capture_id, lag, {_R.format('s / CASE WHEN ss = 0 THEN 1.0 ELSE ss END')} AS r FROM c JOIN v USING (capture_id)"""),
-    "welch_periodogram": (lambda ev: P.periodogram(ev, 900).withColumn("power", P.rounded("power", 4)), (), f"""{BASE}, {_buckets(900)}, {_TREND}, x AS (SELECT *, least(64, n_buckets) AS len, greatest(least(64, n_buckets) // 2, 1) AS step FROM dt),
-sg AS (SELECT DISTINCT capture_id, len, step, unnest(range((n_buckets - len) // step + 1)) AS seg FROM x), y AS (SELECT x.capture_id, sg.seg, x.len, x.bucket - sg.seg * x.step AS i, x.x - avg(x.x) OVER (PARTITION BY x.capture_id, sg.seg) AS z FROM x JOIN sg ON sg.capture_id = x.capture_id AND x.bucket >= sg.seg * x.step AND x.bucket < sg.seg * x.step + x.len),
-h AS (SELECT *, z * 0.5 * (1 - cos(2 * pi() * i / (len - 1))) AS w FROM y), f AS (SELECT capture_id, seg, len, k, (power(sum(w * cos(2 * pi() * k * i / len)), 2) + power(sum(w * sin(2 * pi() * k * i / len)), 2)) / len AS pw FROM (SELECT *, unnest(range(1, len // 2 + 1)) AS k FROM h) GROUP BY capture_id, seg, len, k)
-SELECT capture_id, k, {_R.format('len / k')} AS period, round(avg(pw), 4) + 0.0 AS power FROM f GROUP BY capture_id, len, k HAVING len / k >= 2"""),
-    "dominant_period": (lambda ev: P.dominant_period(ev, 900), (), None),
+    "welch_periodogram": (lambda ev: P.periodogram(ev).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(60)}, {_TREND}, {_WELCH}"),
+    "welch_periodogram_900s": (lambda ev: P.periodogram(ev, 900).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(900)}, {_TREND}, {_WELCH}"),
+    "dominant_period": (P.dominant_period, (), None),
     "hover_conversion_exact": (P.hover_conversion, (), f"""{BASE}, {_HOVER}, {_NEAR} SELECT capture_id, count(*) FILTER (category = 'hover') AS n_hovers, count(*) FILTER (category = 'hover' AND delay IS NOT NULL) AS n_converted, count(*) AS n_base, count(delay) AS n_base_converted, median(CASE WHEN category = 'hover' THEN delay END) AS median_delay FROM nr GROUP BY capture_id"""),
     "hover_conversion_sampled": (lambda ev: P.hover_conversion(ev, samples=True), (), f"""{BASE}, {_HOVER}, {_NEAR}, p AS (SELECT capture_id, count(*) FILTER (category = 'hover') AS n_hovers, count(*) FILTER (category = 'hover' AND delay IS NOT NULL) AS n_converted, count(*) AS n, median(CASE WHEN category = 'hover' THEN delay END) AS median_delay FROM nr GROUP BY capture_id),
 i AS (SELECT capture_id, n, unnest(range(1, least(20 * n_hovers, n - 1) + 1)) AS i FROM p), dr AS (SELECT capture_id, ('0x' || substr(md5(i::VARCHAR), 1, 8))::BIGINT % n AS pos FROM i), b AS (SELECT dr.capture_id, count(*) AS n_base, count(nr.delay) AS n_base_converted FROM dr JOIN nr ON nr.capture_id = dr.capture_id AND nr.pos = dr.pos GROUP BY ALL)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import panels as P
+from seqloom.plans import analytics
 
 LETTER = {"V": "view", "H": "hover", "S": "search", "A": "act", "D": "ad", "M": "msg"}
 
@@ -85,6 +86,15 @@ def test_periodogram(spark):
     assert P.dominant_period(seq(spark, [(60 * i, "V") for i in range(64)])).count() == 0
 
 
+def test_registered_rhythm_is_by_the_minute(spark):
+    wave = [round(10 + 8 * math.sin(2 * math.pi * i / 8)) for i in range(64)]
+    ev = seq(spark, [(60 * i + 0.01 * k, "V") for i, n in enumerate(wave) for k in range(n)])
+    run = lambda name: analytics.PANELS[name][0](ev).collect()
+    assert [r["seconds"] for r in run("dominant_period")] == [480.0]
+    assert {r["bucket"]: r["n"] for r in run("rhythm_buckets")} == dict(enumerate(wave))
+    assert max(run("welch_periodogram"), key=lambda r: r["power"])["period"] == 8.0
+
+
 def test_telemetry_band(spark):
     ev = seq(spark, [(0, "V"), (10, "V"), (30, "V"), (30, "self_surv"), (31, "V"), (60, "self_surv")])
     assert {r["pos"]: r["n_before"] for r in P.telemetry_behaviour(ev).collect()} == {3: 2, 5: 2}
