@@ -112,7 +112,7 @@ def _panel(f):
 
 
 QUERIES = {f.__name__: f for f in (relay_outcomes, relay_quarantine, relay_events, relay_decoded, relay_segments, relay_source_repeats, kind_counts, decode_names, discover_counts, trigram_pairs_jaccard, cluster_regex_proposals, capture_diff_hook_lift, store_roundtrip, store_point_read)}
-QUERIES |= {"capture_summary": _panel(capture_summary), "summary_vector": _panel(lambda ev: summary_vector(ev, 900)), "category_ranks": _panel(share_ranks)}
+QUERIES |= {"capture_summary": _panel(capture_summary), "summary_vector": _panel(summary_vector), "category_ranks": _panel(share_ranks)}
 
 _LINES = """j AS (SELECT line_id, capture_id, trim(coalesce(line, ''), ' \t\r\n') = '' AS blank, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' THEN line END AS o FROM relay_lines),
 f AS (SELECT line_id, capture_id, blank, o, coalesce(o->>'$.__kind', 'request') AS kind, o->>'$.__type' AS tp, o->>'$.__crn' AS crn, o->>'$.__spin_t' AS st, o->>'$.__ts_wall' AS tw, trim(o->>'$.__req') AS rq, coalesce(substr(o->>'$.fb_api_req_friendly_name', 1, 300), '') AS nm,

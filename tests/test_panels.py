@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import panels as P
-from seqloom.plans import analytics
+from seqloom.plans import analytics, ingest
 
 LETTER = {"V": "view", "H": "hover", "S": "search", "A": "act", "D": "ad", "M": "msg"}
 
@@ -139,3 +139,13 @@ def test_permutation_tests_every_hook_with_a_lift(spark):
 def test_first_passage_is_at_least_as_sure(spark):
     rows = P.action_probability(seq(spark, "VHVAVVHAVHDVVA" * 5)).collect()
     assert rows and all(0 <= r["p_marginal"] <= 1 and 0 <= r["p_first_passage"] <= 1 for r in rows)
+
+
+def test_registered_summary_is_by_the_minute(spark, monkeypatch):
+    wave = [round(10 + 8 * math.sin(2 * math.pi * i / 8)) for i in range(64)]
+    wave[40] = 90
+    ev = seq(spark, [(60 * i + 0.01 * k, "V") for i, n in enumerate(wave) for k in range(n)])
+    monkeypatch.setattr(ingest, "canonical", lambda s, d: ev)
+    r = ingest.QUERIES["summary_vector"](spark, "").collect()[0]
+    assert r["n_bursts"] == P.bursts(ev).count() == 1
+    assert r["dominant_period_min"] == P.dominant_period(ev).collect()[0]["seconds"] / 60 > 0
