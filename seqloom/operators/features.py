@@ -6,8 +6,8 @@ So that one row isn't tested against hundreds of conditions, the types are laid
 aggregation comes before the shuffle, so an entity with a third of all rows sends one small row per
 task and pane.  The panes of an entity (a fixed number) are then put side by side.
 
-Types are numbered by their order in the list; a row of no listed type adds nothing.  Null amounts
-amounts, amounts that aren't positive and those that aren't numbers below 1e15 add 0 to the sum
+Types are numbered by their order in the list; a row of no listed type adds nothing.  Null amounts,
+amounts that aren't positive, NaN and infinity, which can't be summed, add 0 to the sum
 (which is cut to a whole number at the end); a type that never occurred has count 0, sum 0 and
 a null time.  An entity without rows of listed types still gets its row; a null entity is one entity.
 """
@@ -24,7 +24,7 @@ _CELL = "array<struct<n:bigint,last_us:bigint,total:bigint>>"
 def feature_table(df: DataFrame, entity: str, type_index: str, n_types: int, time_us: str, amount: Column) -> DataFrame:
     """(entity, cells): ``cells[i]`` is the struct (n, last_us, total) of type ``i``, for each of ``n_types``."""
     kind = F.col(type_index)
-    src = df.select(F.col(entity), F.floor(kind / PANE).cast("int").alias("_pane"), F.pmod(kind, F.lit(PANE)).alias("_slot"), F.col(time_us).alias("_t"), F.when((amount > 0) & (amount < F.lit(1e15)), amount.cast("double")).alias("_a"))
+    src = df.select(F.col(entity), F.floor(kind / PANE).cast("int").alias("_pane"), F.pmod(kind, F.lit(PANE)).alias("_slot"), F.col(time_us).alias("_t"), F.when((amount > 0) & (amount < F.lit(float("inf"))), amount.cast("double")).alias("_a"))
     slots = []
     for i in range(min(PANE, n_types)):
         here = F.col("_slot") == F.lit(i)

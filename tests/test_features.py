@@ -32,5 +32,10 @@ def test_every_entity_gets_all_types(spark):
     assert len(df.columns) == 16 and row["n_v"] == 0 and row["last_z"] is None and row["sum_x"] == 0
 
 
+def test_amounts_have_no_upper_bound(spark):
+    rows = [("a", 0, 1, a, "", "", 1) for a in (1e15, 3e15, 5.0, float("inf"), float("nan"))]
+    assert table(spark, rows).collect()[0]["cells"][0]["total"] == 4_000_000_000_000_005
+
+
 def test_empty(spark):
     assert table(spark, []).collect() == []
