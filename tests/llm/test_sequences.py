@@ -84,12 +84,76 @@ def test_runs_against_brute_force(spark):
     assert collapse_runs(df.limit(0), "e", "t", "seq", ["c", "o"]).collect() == []
 
 
-def test_agglomeration_by_similarity():
+def naive_runs(rows, similarity, least, gap):
+    """Most similar neighbours first, looked for anew after every merge."""
+    out = []
+    for e in {r[0] for r in rows}:
+        runs = [[r] for r in sorted((r for r in rows if r[0] == e), key=lambda r: r[1:3])]
+        while True:
+            best = None
+            for i, (a, b) in enumerate(zip(runs, runs[1:])):
+                wait, alike = b[0][1] - a[-1][1], min(similarity((x[3],), (y[3],)) for x in a for y in b)
+                if wait <= gap and alike >= least:
+                    same = len({x[3] for x in a + b}) == 1
+                    best = min(filter(None, (best, (not same, -alike, wait, R._shuffled(b[0][2]), i))))
+            if best is None:
+                break
+            runs[best[-1] : best[-1] + 2] = [runs[best[-1]] + runs[best[-1] + 1]]
+        out += [(e, r[0][2], r[0][1], r[-1][1], len(r)) for r in runs]
+    return set(out)
+
+
+def adjacent_runs(rows, similarity, least, gap):
+    """What a plain scan of neighbours would give."""
+    out = []
+    for e in {r[0] for r in rows}:
+        for r in sorted((r for r in rows if r[0] == e), key=lambda r: r[1:3]):
+            if out and out[-1][-1][0] == e and r[1] - out[-1][-1][1] <= gap and similarity((r[3],), (out[-1][-1][3],)) >= least:
+                out[-1].append(r)
+            else:
+                out.append([r])
+    return {(r[0][0], r[0][2], r[0][1], r[-1][1], len(r)) for r in out}
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_graded_runs_against_naive_agglomeration(spark, batch):
+    rng = random.Random(batch)
+    alike = lambda a, b: 1 - abs(a[0] - b[0]) / 20
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([0, 1, 1, 2, 9])
+        rows.append((rng.choice(["hot", "hot", "hot", "b"]), t, i, rng.randrange(20)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "e string, t bigint, seq bigint, x bigint").repartition(5)
+        for least in (0.4, 0.7):
+            got = list(map(tuple, collapse_runs(df, "e", "t", "seq", ["x"], gap_us=4, similarity=alike, least=least).collect()))
+            assert set(got) == naive_runs(rows, alike, least, 4) and len(got) == len(set(got))
+            assert set(got) != adjacent_runs(rows, alike, least, 4)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_agglomeration_does_not_drift():
     alike = lambda a, b: 1 - abs(a[0] - b[0])
-    labels = [(x,) for x in (0.0, 0.1, 0.9, 1.0, 1.0)]
-    assert agglomerate(labels, [0, 1, 2, 3, 50], alike, 0.8, 10) == [(0, 1), (2, 3), (4, 4)]
-    assert agglomerate([], [], equal_labels, 1.0, 1) == [] and equal_labels((None, "a"), (None, "a")) == 0.0
-    assert R._label(repr(("it's", None, 3))) == ("it's", None, 3)
+    chain = [R.Run(i, i, i, 1, ((i / 10,),)) for i in range(11)]
+    found = agglomerate(chain, R.Linkage(alike, 0.85, 10))
+    assert sum(r.n for r in found) == 11 and len(found) > 1 and all(alike(x, y) >= 0.85 for r in found for x in r.kinds for y in r.kinds)
+    assert agglomerate([], R.Linkage(alike, 1.0, 1)) == [] and equal_labels((None, "a"), (None, "a")) == 0.0
+
+
+def test_waiting_runs_are_few():
+    """Only what hangs on the unknown side of a cut waits."""
+    rng = random.Random(5)
+    alike = lambda a, b: 1 - abs(a[0] - b[0]) / 40
+    runs = [R.Run(i, i, i, 1, ((rng.randrange(20),),)) for i in range(5000)]
+    runs[0].flags, runs[-1].flags = R.LEFT, R.RIGHT
+    found = agglomerate(runs, R.Linkage(alike, 0.6, 1))
+    assert sum(1 for r in found if r.flags) < 20 and sum(r.n for r in found) == 5000
+    same = [R.Run(i, i, i, 1, (("a",),)) for i in range(5000)]
+    same[0].flags, same[-1].flags = R.LEFT, R.RIGHT
+    assert len(agglomerate(same, R.Linkage(equal_labels, 1.0, 1))) == 1
 
 
 def test_operations():
