@@ -2,10 +2,18 @@ import json
 import random
 import re
 
-from seqloom.llm.leakage import Windows, leaked, words
+import numpy as np
+import pytest
+
+from seqloom.llm import leakage as L
+from seqloom.llm.leakage import PositionalIndex, build_index, leaked, pack, unpack, word_terms
 from seqloom.llm.notebook import boundaries, segments
 
 
+def words(text):
+    return re.findall(rb"[0-9a-z]+", text.encode("utf-8", "surrogatepass").lower())
+
+
 def grams(text, n=13):
     w = re.findall("[0-9A-Za-z]+", text)
     w = [x.lower() for x in w]
@@ -54,31 +62,63 @@ def test_passages_within_one_segment_only(spark):
     assert leaked(df, items.limit(0)).collect() == [] and leaked(df.limit(0), items).collect() == []
 
 
-def test_lookup_against_brute_force():
-    rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(12)]
+def in_order(doc, wanted, span):
+    """Whether the words stand in the document in this order within ``span`` places."""
+    for p in (p for p, w in enumerate(doc) if w == wanted[0]):
+        q = p
+        for w in wanted[1:]:
+            q = next((r for r in range(q + 1, min(len(doc), p + span)) if doc[r] == w), None)
+            if q is None:
+                break
+        if q is not None:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("block_chars", [1, 1 << 22])
+def test_index_against_brute_force(spark, monkeypatch, block_chars):
+    monkeypatch.setattr(L, "HOT_POSITIONS", 3)
+    rng = random.Random(block_chars)
+    vocabulary = [f"w{i}" for i in range(9)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    for _ in range(40):
-        items = [(i, words(text(rng.randrange(3, 9)))) for i in range(5)]
-        windows = Windows(items, 3)
-        docs = [words(text(rng.randrange(3, 60)) + " zz " + text(5)) for _ in range(3)]
-        import numpy as np
-
-        seq = np.concatenate([np.array([*(windows.terms[w] for w in d), -2]) for d in docs])
-        of = np.repeat(np.arange(3), [len(d) + 1 for d in docs])
+    docs = [(i, text(rng.randrange(0, 60)), "x") for i in range(60)] + [(7, "w1 w2 w3", "x")]
+    items = [(i, text(rng.randrange(2, 9)), "x") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string").repartition(3)
+    index = build_index(df, layout=None, block_chars=block_chars)
+    again = PositionalIndex(spark, index.path)  # another list of items, from the stored postings alone
+    for part, of in ((items, index), (items[:5], again)):
+        asked = spark.createDataFrame(part, "item_id bigint, text string, doc_id string")
         for slack in (0, 2):
-            at, w = windows.lookup(seq, slack)
-            got = {(of[a], i) for a, x in zip(at, w) for i in windows.items[windows.item_start[x] : windows.item_start[x + 1]]}
-            want = set()
-            for d, doc in enumerate(docs):
-                for i, item in items:
-                    for k in range(len(item) - 2):
-                        a, b, c = item[k : k + 3]
-                        for p in range(len(doc)):
-                            hits = [(q, r) for q in range(p + 1, len(doc)) for r in range(q + 1, min(len(doc), p + 3 + slack)) if doc[p] == a and doc[q] == b and doc[r] == c]
-                            if hits:
-                                want.add((d, i))
-            assert got == want
+            for most in (10**6, 3) if of is index else (10**6,):
+                got = list(map(tuple, of.find(asked, window=3, slack=slack, item_words=most).collect()))
+                want = {(d, i) for d, t, _ in docs for i, x, _ in part if any(in_order(t.split(), x.split()[k : k + 3], 3 + slack) for k in range(len(x.split()) - 2))}
+                assert set(got) == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        index.find(asked, window=60, slack=5)
+
+
+def test_frequencies_count_the_whole_index(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "A-c"), (3, None), (4, "")], "doc_id bigint, text string").repartition(3)
+    index = build_index(df, layout=None, block_chars=1)
+    terms = np.sort(word_terms("a b c d"))
+    n = dict(zip(terms.tolist(), index.frequencies(terms).tolist()))
+    assert [n[word_terms(w)[0]] for w in "abcd"] == [3, 1, 1, 0]
+
+
+def test_words_and_posting_lists(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("aB9 _-éß\n") for _ in range(4000))
+    for most in (1 << 22, 50):
+        monkeypatch.setattr(L, "CUT_BYTES", most)
+        terms, names = word_terms(text).tolist(), words(text)
+        assert len(terms) == len(names) and len(set(zip(terms, names))) == len(set(names)) == len(set(terms))
+    assert len(word_terms("")) == len(word_terms(" -\ud800 ")) == 0
+    lists = [sorted(rng.sample(range(rng.choice([9, 300, 10**6, 10**11])), 5)) for _ in range(200)] + [[0]]
+    count = np.array(list(map(len, lists)))
+    data, size = pack(np.concatenate([np.array(x) for x in lists]), count)
+    assert unpack(data, count).tolist() == [v for x in lists for v in x] and size.sum() == len(data)
+    at = int(size[:7].sum())
+    assert unpack(data[at : at + int(size[7])], count[7:8]).tolist() == lists[7]
 
 
 def test_near_matches(spark):
