@@ -6,6 +6,7 @@ import pytest
 
 from seqloom.llm import runs as R
 from seqloom.llm import subsequences as Q
+from seqloom.llm import vocabulary as V
 from seqloom.llm.operations import Operations, letters
 from seqloom.llm.runs import agglomerate, collapse_runs, equal_labels
 from seqloom.llm.subsequences import frequent_subsequences, spelled
@@ -179,7 +180,7 @@ def test_counts_against_brute_force(spark):
             records.update(set(name_terms(t)))
     full = sum(1 for t in texts if t and t.strip())
     df = spark.createDataFrame([(t, "x") for t in texts], "friendly string, term string").repartition(4)
-    for kw in ({}, {"burst": 2, "held": 25}):
+    for kw in ({}, {"burst": 2, "held": 25}, {"burst": 3, "held": 40, "route_terms": 20}, {"burst": 400, "route_terms": 5}):
         got = {r["term"]: (r["n_total"], r["n_records"]) for r in term_counts(df, "friendly", **kw).collect()}
         assert got == {"": (full, full), **{t: (total[t], records[t]) for t in total}}
     marks = {r["term"]: r["mark"] for r in marked_terms(df, "friendly").collect()}
@@ -187,9 +188,39 @@ def test_counts_against_brute_force(spark):
     assert marked_terms(df.limit(0), "friendly").collect() == []
 
 
+def flat(trie):
+    return [(prefix + e, n, r) for prefix, *columns in trie.subtrees() for e, n, r in zip(*columns)]
+
+
 def test_trie_bursts():
     trie = BurstTrie(2)
     for t in ("", "a", "ab", "abc", "abd", "abe", "b", "ab"):
         trie.add(t, 2, 1)
-    flat = [x for tree in trie.subtrees() for x in tree]
-    assert flat == sorted(flat) and dict((t, (n, r)) for t, n, r in flat) == {"": (2, 1), "a": (2, 1), "ab": (4, 2), "abc": (2, 1), "abd": (2, 1), "abe": (2, 1), "b": (2, 1)} and trie.size == 7
+    got = flat(trie)
+    assert got == sorted(got) and dict((t, (n, r)) for t, n, r in got) == {"": (2, 1), "a": (2, 1), "ab": (4, 2), "abc": (2, 1), "abd": (2, 1), "abe": (2, 1), "b": (2, 1)} and trie.size == 7
+
+
+def test_subtrees_merge_whatever_their_depth():
+    rng = random.Random(2)
+    for burst in (1, 3, 50):
+        want, merged = collections.Counter(), BurstTrie(burst)
+        for depth in (1, 2, 9, 60):
+            part = BurstTrie(depth)
+            for _ in range(120):
+                t = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 5)))
+                part.add(t, 3, 1)
+                want[t] += 1
+            for subtree in part.subtrees():
+                merged.merge(*subtree)
+        assert sorted(flat(merged)) == sorted((t, 3 * n, n) for t, n in want.items()) and merged.size == len(want)
+
+
+def test_dense_prefixes_are_routed_more_finely(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(6)) for _ in range(400)] + ["zz"]
+    df = spark.createDataFrame([(t,) for t in texts], "friendly string").repartition(4)
+    tries = V.materialise(df.mapInArrow(lambda it: V._count(it, name_terms, 4, 1000), V._SUBTREE), "t")
+    entries = [p + e for p, es, *_ in tries.collect() for e in es]
+    dense = V.dense_prefixes(tries, 30)
+    every = {t[:k] for t in entries for k in range(len(t) + 1)}
+    assert dense == {p for p in every if sum(t.startswith(p) for t in entries) > 30} and "a" in dense and "z" not in dense
