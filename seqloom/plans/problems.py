@@ -36,13 +36,20 @@ def p1_features(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("capture_id", total("n").alias("n_events"), total("total").alias("latency_sum"), F.array_max(F.transform("cells", lambda c: c["last_us"])).alias("last_us"))
 
 
+def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The batch that landed last is new, all earlier ones are stored."""
+    lines = table(spark, d, "relay_lines", "line_id", "batch_id", "capture_id", "line")
+    new = F.col("batch_id").eqNullSafe(F.lit(lines.agg(F.max("batch_id")).head()[0]))
+    return split_copies(messages(lines.where(new)), messages(lines.where(~new)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_copies(messages(table(spark, d, "relay_lines", "line_id", "capture_id", "line")))[1]
+    return _copies(spark, d)[1]
 
 
 def p3_messages(spark: SparkSession, d: str) -> DataFrame:
     """Every message once: the line that stays."""
-    return split_copies(messages(table(spark, d, "relay_lines", "line_id", "capture_id", "line")))[0]
+    return _copies(spark, d)[0]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_stored_and_new(spark):
     assert [tuple(r) for r in dropped.collect()] == [(1, 10)]
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_a_row_id_that_repeats_stays_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(dedup, "HOT_COPIES", hot)
+    rows = [(5, b"a"), (5, b"a"), (7, b"a"), (None, b"a"), (None, b"b"), (None, b"b"), (9, b"c")]
+    kept, dropped = split_copies(spark.createDataFrame(rows[2:], "line_id bigint, ident binary"), spark.createDataFrame(rows[:2], "line_id bigint, ident binary"))
+    assert sorted((r[0] for r in kept.collect()), key=str) == [5, 9, None]
+    assert sorted(map(tuple, dropped.collect()), key=str) == sorted([(5, 5), (5, 7), (5, None), (None, None)], key=str)
+
+
 def test_empty(spark):
     kept, dropped = split_copies(spark.createDataFrame([], "line_id bigint, ident binary"))
     assert kept.count() == dropped.count() == 0

@@ -2,13 +2,14 @@ import random
 
 import pytest
 
+from seqloom.operators import late
 from seqloom.operators.late import PeriodStore, corrected_periods, replay
 
 SCHEMA = "capture_id string, block bigint, seq bigint, ts_us bigint, _local bigint, late string"
 P, C = 100, 300
 
 
-def brute(rows):
+def brute(rows, P=P, C=C):
     counts: dict = {}
     high: dict = {}
     for cap, _, _seq, t, *_ in sorted(rows, key=lambda r: (r[0], r[2])):
@@ -30,16 +31,16 @@ def make(rng, n=1500):
 def test_against_brute_force(spark, batches):
     rows = make(random.Random(batches))
     df = spark.createDataFrame(rows, SCHEMA)
-    store = replay(df, n_batches=batches, period_us=P, cutoff_us=C)
-    late, every = brute(rows)
-    assert set(map(tuple, corrected_periods(store).collect())) == late
+    store = replay(df, n_batches=batches, period_us=P, cutoff_us=C, part_us=10 * P)
+    corrected, every = brute(rows)
+    assert set(map(tuple, corrected_periods(store).collect())) == corrected
     assert set(map(tuple, store.counts().collect())) == every
 
 
 def test_a_failed_batch_leaves_the_old_tables(spark, monkeypatch):
     rows = make(random.Random(9), 200)
     df = spark.createDataFrame(rows, SCHEMA)
-    store = PeriodStore(spark, period_us=P, cutoff_us=C)
+    store = PeriodStore(spark, period_us=P, cutoff_us=C, part_us=10 * P)
     store.add(df.where("seq < 60"))
     before = set(map(tuple, store.counts().collect()))
     with monkeypatch.context() as m:
@@ -51,6 +52,32 @@ def test_a_failed_batch_leaves_the_old_tables(spark, monkeypatch):
     assert set(map(tuple, store.counts().collect())) == brute(rows)[1]
 
 
+def test_other_limits_from_the_retained_records(spark):
+    rows = make(random.Random(4))
+    store = replay(spark.createDataFrame(rows, SCHEMA), n_batches=3, period_us=P, cutoff_us=C, part_us=10 * P)
+    assert brute(rows)[1] != brute(rows, P, 1000)[1]
+    for period, cutoff in ((P, 1000), (P, 0), (50, C), (400, 20)):
+        assert set(map(tuple, store.recount(period, cutoff).collect())) == brute(rows, period, cutoff)[1]
+    assert set(map(tuple, store.counts().collect())) == brute(rows)[1]
+
+
+def test_batches_open_what_they_touch(spark, monkeypatch):
+    """Untouched partitions keep their tables, and raw records don't pile up in ever more places."""
+    monkeypatch.setattr(late, "PIECES", 3)
+    rows = [("a", 0, s, 5000 + s, 1, "x") for s in range(40)] + [("b", 0, s, s % 2 * 9000, 1, "x") for s in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    store = PeriodStore(spark, period_us=P, cutoff_us=C, part_us=10 * P)
+    for b in range(5):
+        store.add(df.where((df.seq >= 8 * b) & (df.seq < 8 * b + 8)))
+        if b == 1:
+            first = store.manifest()["parts"]["0"]
+    parts = store.manifest()["parts"]
+    assert parts["0"]["counts"] == first["counts"] and all(len(p["raw"]) <= 5 for p in parts.values()) and len(parts["5"]["raw"]) < 3
+    assert set(map(tuple, store.counts().collect())) == brute(rows)[1]
+    with pytest.raises(ValueError):
+        PeriodStore(spark, period_us=7, part_us=10)
+
+
 def test_empty(spark):
     store = replay(spark.createDataFrame([], SCHEMA))
     assert store.counts().count() == 0
