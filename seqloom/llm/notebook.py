@@ -16,7 +16,7 @@ PERCENT = re.compile(r"^# (?:%% (?:\[\w+\]|In\[[ \d]*\])|Out\[[ \d]*\]:)[ \t]*$"
 PROMPT = re.compile(r"^(?:\[(?:md|raw|markdown) \d+\][ \t]*$|In \[[ \d]*\]:(?= |$)|Out\[[ \d]*\]:[ \t]*$)", re.M)
 FENCED_CELL = re.compile(r"^<!-- cell \d+ -->[ \t]*$", re.M)
 FENCE = re.compile(r"^```[^\n`]*$", re.M)
-JSON_CELL = re.compile(r'\{\s*"cell_type"')
+JSON_MARK = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:]', re.S)
 
 
 def layout_of(text: str, layout: str | None) -> str:
@@ -92,12 +92,48 @@ def segments(text: str, layout: str | None) -> list[str]:
     return [text]
 
 
+def _json_boundaries(text: str) -> list[int]:
+    """Where each object in ``cells`` and each object in a cell's ``outputs`` begins, whatever the order of keys."""
+    out: list[int] = []
+    open_: list[list] = []  # bracket and latest key of each level
+    string = ""
+    for m in JSON_MARK.finditer(text):
+        sign = text[m.start()]
+        if sign == '"':
+            string = m[0]
+        elif sign == ":":
+            if open_:
+                open_[-1][1] = string
+        elif sign in "}]":
+            if open_:
+                open_.pop()
+        else:
+            if sign == "{" and len(open_) in (2, 4) and open_[0][1] == '"cells"' and open_[-1][0] == "[" and (len(open_) == 2 or open_[2][1] == '"outputs"'):
+                out.append(m.start())
+            open_.append([sign, None])
+    return out
+
+
+def _fenced_boundaries(text: str) -> list[int]:
+    """Where each cell begins and, after the source of a code cell, each fence that opens an output."""
+    marks = list(FENCED_CELL.finditer(text))
+    out: list[int] = []
+    for i, m in enumerate(marks):
+        out.append(m.start())
+        end = marks[i + 1].start() if i + 1 < len(marks) else len(text)
+        if text[m.end() : end].lstrip().startswith("```"):
+            out += [f.start() for f in FENCE.finditer(text, m.end(), end)][2::2]
+    return out
+
+
 def boundaries(text: str, layout: str | None) -> list[int]:
-    """Offsets in the text at which a cell or one of its outputs begins."""
+    """Offsets in the text at which a cell or one of its outputs begins, in order."""
     kind = layout_of(text, layout)
-    marker = {"ipynb": JSON_CELL, "percent": PERCENT, "prompt": PROMPT, "fenced": FENCED_CELL}.get(kind)
-    if marker is None:
-        return []
-    if kind != "ipynb" and "\r" in text:
+    if kind == "ipynb":
+        return _json_boundaries(text)
+    if "\r" in text:
         text = text.replace("\r\n", " \n").replace("\r", "\n")  # same length
-    return [m.start() for m in marker.finditer(text)]
+    if kind == "fenced":
+        return _fenced_boundaries(text)
+    marker = {"percent": PERCENT, "prompt": PROMPT}.get(kind)
+    return [m.start() for m in marker.finditer(text)] if marker else []

@@ -1,15 +1,17 @@
 """Oversized texts cut into pieces of a bounded number of tokens, at natural boundaries.
 
-A text is laid out in atomic segments, its lines; a line that is too long alone is cut between
-tokens.  Between two neighbouring segments lies a boundary: strong where a cell or an output begins,
-middling at a blank line, weak at any other line, weakest inside a line.  All adjacent pairs whose
-joint size fits wait in a heap, and the pair with the weakest boundary (then the smallest joint
-size, then the earliest) is merged first, until no pair fits any more.  Sizes leave room for the
-overlap, which is put before each piece but the first: the text of the last tokens of the piece
-before it.
+A text is laid out in atomic segments, its lines; a line that is too long alone is cut at the ends of
+its sentences, a sentence that is too long between words, and only what has no blank within reach
+between tokens.  Between two neighbouring segments lies a boundary: strongest where a cell or an
+output begins, then at a blank line, at any other line, at a sentence, at a word, and weakest inside
+a word.  All adjacent pairs whose joint size fits wait in a heap, and the pair with the weakest
+boundary (then the smallest joint size, then the earliest) is merged first, until no pair fits any
+more.  Sizes leave room for the overlap, which is put before each piece but the first: the text of
+the last tokens of the piece before it.
 
 Pieces are slices of the text, so cutting is lossless: without the overlaps they join to the text.
-The size of every piece, overlap included, is its own number of tokens, counted again at the end.
+The size of every piece, overlap included, is its own number of tokens, counted again at the end; a
+limit that can't be kept is an error.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ SPARE = 8
 SYNC = 400
 _LINE = re.compile(r"\r\n|\r|\n|\\n\", *(?=\")")
 _BLANK = re.compile(r"[ \t#]*(?:\r\n|\r|\n)")
-INSIDE, LINE, BLANK, CELL = 0, 1, 2, 3
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*(?=\s)|(?<=[。！？])")
+_WORD = re.compile(r"(?<=\S)(?=\s)")
+INSIDE, WORD, SENTENCE, LINE, BLANK, CELL = range(6)
 
 
 def merge_segments(size: list[int], strength: list[int], room: int) -> list[tuple[int, int]]:
@@ -98,9 +102,17 @@ class Cutter:
         while True:
             pieces = self._pieces(text, layout, ends, room)
             sizes = self._counts(text, ends, pieces)
-            if sizes.max() <= self.limit or room <= SPARE:
+            if sizes.max() <= self.limit:
                 return [(*p, int(n)) for p, n in zip(pieces, sizes)]
-            room -= max(SPARE, int(sizes.max()) - self.limit)  # rare: white space that packs worse alone
+            if room == 1:
+                break
+            room = max(1, room - max(SPARE, int(sizes.max()) - self.limit))  # rare: white space that packs worse alone
+        # where a limit is close to its overlap, the overlap gives way
+        pieces = [(own if n > self.limit else start, own, end) for (start, own, end), n in zip(pieces, sizes)]
+        sizes = self._counts(text, ends, pieces)
+        if sizes.max() > self.limit:
+            raise ValueError(f"{self.limit} tokens are fewer than one sign may take")
+        return [(*p, int(n)) for p, n in zip(pieces, sizes)]
 
     def _counts(self, text: str, ends: np.ndarray, pieces: list[tuple[int, int, int]]) -> np.ndarray:
         """Each piece's own number of tokens.
@@ -120,30 +132,37 @@ class Cutter:
             inner.append(int(np.searchsorted(ends, b, side="right") - np.searchsorted(ends, a, side="right")))
         return self.enc.encode(parts)[1].reshape(-1, 2).sum(axis=1) + inner
 
+    def _inside(self, text: str, ends: np.ndarray, lo: int, hi: int, room: int, kind: int) -> list[tuple[int, int]]:
+        """(start, strength) of the segments within a stretch that is too long alone, without its own start."""
+        if kind == INSIDE:
+            first, last = np.searchsorted(ends, (lo, hi), side="right").tolist()
+            cuts = [int(c) for c in ends[first + room - 1 : last : room] if lo < c < hi]
+            return [(c, INSIDE) for c in cuts]
+        cuts = [m.end() for m in (_SENTENCE if kind == SENTENCE else _WORD).finditer(text, lo + 1, hi) if lo < m.end() < hi]
+        if kind == WORD and len(cuts) > 1:  # a blank now and then will do
+            reach = np.searchsorted(ends, cuts, side="right") // max(1, room // 16)
+            cuts = [c for c, r, before in zip(cuts, reach, [-1, *reach[:-1]]) if r != before]
+        out: list[tuple[int, int]] = []
+        starts = [lo, *cuts]
+        count = np.diff(np.searchsorted(ends, [*starts, hi], side="right"))
+        for i, (a, n) in enumerate(zip(starts, count)):
+            if i:
+                out.append((a, kind))
+            if n > room:
+                out += self._inside(text, ends, a, starts[i + 1] if i + 1 < len(starts) else hi, room, kind - 1)
+        return out
+
     def _pieces(self, text: str, layout: str | None, ends: np.ndarray, room: int) -> list[tuple[int, int, int]]:
-        strong = {c for c in boundaries(text, layout) if 0 < c < len(text)}
         kind = {m.end(): LINE for m in _LINE.finditer(text) if m.end() < len(text)}
         kind.update((c, BLANK) for c in list(kind) if _BLANK.match(text, c))
-        kind.update((c, CELL) for c in strong)
+        kind.update((c, CELL) for c in boundaries(text, layout) if 0 < c < len(text))
         starts = [0, *sorted(kind)]
-        at = np.searchsorted(ends, starts, side="right")  # tokens that end by each start
-        count = np.diff(np.append(at, len(ends)))
-        begin, size, strength = [], [], []
-        for i, s in enumerate(starts):
-            n, first, before = int(count[i]), int(at[i]), kind.get(s, CELL)
-            if n <= room:
-                begin.append(s)
-                size.append(n)
-                strength.append(before)
-                continue
-            end = starts[i + 1] if i + 1 < len(starts) else len(text)
-            while n > 0:  # a line too long alone: cut between tokens
-                begin.append(s)
-                size.append(min(n, room))
-                strength.append(before)
-                before, first, n = INSIDE, first + room, n - room
-                if n <= 0 or (s := int(ends[first - 1])) >= end:
-                    break
+        count = np.diff(np.searchsorted(ends, [*starts, len(text)], side="right"))  # tokens that end in each
+        for i in np.flatnonzero(count > room).tolist():
+            kind.update(self._inside(text, ends, starts[i], starts[i + 1] if i + 1 < len(starts) else len(text), room, SENTENCE))
+        begin = [0, *sorted(kind)]
+        size = np.diff(np.searchsorted(ends, [*begin, len(text)], side="right")).tolist()
+        strength = [CELL, *(kind[c] for c in begin[1:])]
         begin.append(len(text))
         out = []
         for a, b in merge_segments(size, strength, room):

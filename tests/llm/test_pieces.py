@@ -4,6 +4,7 @@ import random
 import pytest
 
 from seqloom.llm.bpe import DEFAULT_VOCABULARY, Encoder, Vocabulary
+from seqloom.llm.notebook import boundaries
 from seqloom.llm.pieces import Cutter, merge_segments, split_oversized
 
 
@@ -69,6 +70,39 @@ def test_cells_stay_whole_where_they_fit(enc):
     assert all(o in starts for _, o, _, _ in Cutter(enc, 400, 30).cut(text, "percent", ids))
 
 
+def test_long_lines_are_cut_at_sentences_and_words(enc):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghi") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    inside = lambda t, c: t[c - 1].isalnum() and t[c].isalnum()
+    cutter = Cutter(enc, 200, 20)
+    for text, at_sentences in ((" ".join(sentence(rng.randrange(4, 12)) for _ in range(60)), True), (sentence(900), False), ("x" * 3000 + " " + sentence(700), False), (json.dumps({"cells": [{"source": [sentence(800)]}]}), False)):
+        ids, _ = enc.encode([text])
+        cuts = [o for _, o, _, _ in cutter.cut(text, None, ids)[1:]]
+        assert len(cuts) > 4 and not [c for c in cuts if inside(text, c) and "x" * 300 not in text[max(0, c - 600) : c + 600]]
+        assert not at_sentences or all(text[c - 1] == "." for c in cuts)
+
+
+def test_tiny_limits_keep_the_limit_or_are_refused(enc):
+    text = "".join(chr(0x1F600 + i % 50) for i in range(300)) + " ab" * 50
+    ids, _ = enc.encode([text])
+    for limit, overlap in ((20, 3), (30, 0), (17, 0)):
+        pieces = Cutter(enc, limit, overlap).cut(text, None, ids)
+        assert "".join(text[o:e] for _, o, e, _ in pieces) == text and max(count(enc, [text[s:e] for s, _, e, _ in pieces])) <= limit
+
+
+def test_outputs_and_cells_are_boundaries():
+    code = [{"id": f"c{i}", "outputs": [{"text": [f"out {i}"], "output_type": "stream"}, {"data": {"text/plain": ["{", "]"]}}], "metadata": {"cells": [{}]}, "source": ["x = {1: [2]}\n"], "cell_type": "code"} for i in range(40)]
+    text = json.dumps({"metadata": {"a": [{"b": 1}]}, "cells": code})
+    found = boundaries(text, "ipynb")
+    assert len(found) == 120 and all(text[c] == "{" for c in found) and [text[c + 2 : c + 4] for c in found[:3]] == ["id", "te", "da"]
+    assert boundaries(text[:-40], "ipynb") == found and boundaries('{"cells": [{"source": "abc', "ipynb") == [11] and boundaries("]}\"", "ipynb") == []
+    cell = "<!-- cell {} -->\n\n```python\nx = {}\n```\n\n```text\nout\n```\n\n```text\nmore\n```\n\n"
+    text = "".join(cell.format(i, i) for i in range(40)) + "<!-- cell 40 -->\n\nprose\n```\nnot an output\n```\n"
+    found = boundaries(text, "fenced")
+    assert len(found) == 121 and all(text[c:].startswith(("<!--", "```text")) for c in found)
+
+
 def test_split(spark, enc):
     big = "\n".join(f"line {i} of many" for i in range(900))
     rows = [(1, big, None, "x"), (2, "short", "percent", "x"), (3, None, None, "x"), (4, "", None, "x"), (5, big, "odd", "x")]

@@ -40,6 +40,7 @@ def brute_patterns(rows, share, least):
 def test_patterns_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(Q, "CHUNK", chunk)
     monkeypatch.setattr(Q, "TREE_CANDIDATES", 40)
+    monkeypatch.setattr(Q, "PLACES", 50 if chunk < 100 else 1 << 20)
     rng = random.Random(chunk)
     rows = [("hot", rng.randrange(10**6), i, rng.choice("abcdefgh")) for i in range(400)]
     rows += [(f"c{c}", rng.randrange(100), i, rng.choice("abcdefghij")) for c in range(12) for i in range(rng.randrange(10, 40))]
