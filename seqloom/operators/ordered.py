@@ -1,7 +1,8 @@
 """Positions in ordered sequences without gathering a sequence in one task.
 
-Rows are spread over (key, time span); positions are counted within a span and shifted by the number
-of rows in the key's earlier spans, which is a running sum over one small row per span.
+Rows are range partitioned by (key, time, tie) and sorted, so a key's rows lie in as many partitions
+as they fill, however close together in time.  A row's position is its place in the partition,
+shifted by one number per key and partition.
 """
 
 from __future__ import annotations
@@ -9,24 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a time span: six hours.
-SPAN_US = 21_600_000_000
+from seqloom.session import broadcast_if_small, drop_table, materialise
 
+#: Bits of ``monotonically_increasing_id`` that count within a partition.
+_WITHIN = 33
 
-def numbered(df: DataFrame, key: str, time_us: str, tie: str, out: str = "pos", span_us: int = SPAN_US) -> DataFrame:
+
+def numbered(df: DataFrame, key: str, time_us: str, tie: str, out: str = "pos") -> DataFrame:
     """``df`` with ``out``: 0, 1, 2, ... in each key by (time, tie).
 
     Rows with a null key or time are left out; ``tie`` must tell apart rows of the same time for the
-    numbering to be repeatable.
+    numbering to be repeatable.  The sorted rows are written to the shared folder, as a base that all
+    that follows can read again.
     """
-    src = df.where(F.col(key).isNotNull() & F.col(time_us).isNotNull())
-    src = src.withColumn("_span", F.floor(F.col(time_us) / F.lit(span_us)).cast("bigint")).repartition(key, "_span")
-    size = src.groupBy(key, "_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    base = size.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(key, "_span", "_base")
-    within = Window.partitionBy(key, "_span").orderBy(time_us, tie)
-    local = src.withColumn("_row", F.row_number().over(within) - 1)
-    return local.join(base, [key, "_span"]).select(*df.columns, (F.col("_base") + F.col("_row")).cast("bigint").alias(out))
+    columns = df.columns
+    src = materialise(df.where(F.col(key).isNotNull() & F.col(time_us).isNotNull()), "unordered")  # the bounds are sampled from it
+    ranged = src.repartitionByRange(key, time_us, tie).sortWithinPartitions(key, time_us, tie)
+    ranged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    drop_table(src)
+    part = F.shiftright("_at", _WITHIN)
+    first = ranged.groupBy(F.col(key), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = first.select(key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    shift = broadcast_if_small(materialise(shift, "shifts"))
+    return ranged.withColumn("_part", part).join(shift, [key, "_part"]).select(*columns, (F.col("_at") + F.col("_shift")).alias(out))
 
 
 def running(df: DataFrame, key: str, order: str, span: int, descending: bool = False, **sums: Column) -> DataFrame:

@@ -13,15 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.ordered import numbered
 
 BLOCK = 4096
 KEY, POS = "capture_id", "pos"
 
 
-def reindex(df: DataFrame, keep: Column, pos: str = POS, time_us: str = "ts_us", tie: str = "seq") -> DataFrame:
-    """The rows that ``keep`` holds for, numbered anew in their order."""
-    return numbered(df.where(keep).drop(pos), KEY, time_us, tie, pos)
+def reindex(df: DataFrame, keep: Column) -> DataFrame:
+    """The rows that ``keep`` holds for, numbered anew in their order: counted within blocks, then over the blocks."""
+    kept = _blocked(df.where(keep))
+    local = kept.withColumn("_local", F.row_number().over(Window.partitionBy(KEY, "_block").orderBy(POS)) - 1)
+    size = kept.groupBy(KEY, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = Window.partitionBy(KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = size.select(KEY, "_block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_carry"))
+    return local.join(carry, [KEY, "_block"]).withColumn(POS, F.col("_local") + F.col("_carry")).select(*df.columns)
 
 
 def framed(df: DataFrame, before: int, after: int, **columns: Callable[[Window], Column]) -> DataFrame:
@@ -105,19 +109,19 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str], applie
     return first.unionByName(src.where(~applies)).select(*df.columns)
 
 
-#: Parts over which a long sequence's rows are spread when they meet their capture's one row.
-PARTS = 64
+#: Places of a sequence that meet their capture's one row together.
+PART = 1 << 17
 
 
 def beside(df: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
     """Join the one row that ``per`` has of each capture to the capture's rows.
 
-    The rows of a capture meet it in parts by block, so a capture with a third of all rows is many
-    join keys; the one row is repeated for as many parts as the capture has, which is one for nearly
-    all.  ``per`` may bring the capture's greatest position as ``_top``.
+    The rows of a capture meet it in parts of ``PART`` places, so a capture with a third of all rows is
+    as many join keys as it is long; the one row is repeated for each part the capture has, which is
+    one for nearly all.  ``per`` may bring the capture's greatest position as ``_top``.
     """
     if "_top" not in per.columns:
         per = per.join(df.groupBy(KEY).agg(F.max(POS).alias("_top")), KEY)
-    part = F.pmod(F.floor(F.col(POS) / BLOCK), F.lit(PARTS))
-    parts = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(PARTS - 1), F.floor(F.col("_top") / BLOCK)))
+    part = F.floor(F.col(POS) / PART).cast("bigint")
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_top") / PART).cast("bigint"))
     return df.withColumn("_part", part).join(per.withColumn("_part", F.explode(parts)).drop("_top"), [KEY, "_part"], how).drop("_part")

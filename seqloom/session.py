@@ -80,7 +80,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove what :func:`materialise` wrote, once nothing reads it any more."""
+    drop_path(df.sparkSession, df._scratch)
 
 
 def estimated_bytes(df: DataFrame) -> int:

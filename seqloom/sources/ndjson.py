@@ -99,7 +99,7 @@ def source_repeats(events: DataFrame, within_us: int = 500_000) -> DataFrame:
     it.  Whether an event is sent depends on the one sent before, so each stretch of equal neighbours
     that are close together is folded in order; stretches are found without gathering a capture.
     """
-    pos = numbered(events, "capture_id", "line_id", "line_id", span_us=1 << 16)
+    pos = numbered(events, "capture_id", "line_id", "line_id")
     prev = framed(pos, 1, 0, _r=lambda w: F.lag("route").over(w), _f=lambda w: F.lag("friendly").over(w), _t=lambda w: F.lag("ts_us").over(w))
     same = F.col("_t").isNotNull() & F.col("route").eqNullSafe(F.col("_r")) & F.col("friendly").eqNullSafe(F.col("_f")) & (F.col("ts_us") - F.col("_t") < within_us)
     runs = islands(prev, ~same, "_run")

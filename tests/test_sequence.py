@@ -28,12 +28,36 @@ def test_numbered_over_many_spans(spark):
     rng = random.Random(5)
     rows = [("a", rng.randrange(10_000), i) for i in range(500)] + [("b", None, 1), (None, 1, 1), ("b", 3, 2)]
     df = spark.createDataFrame(rows, "k string, t bigint, tie bigint").repartition(6)
-    got = {(r["k"], r["t"], r["tie"]): r["pos"] for r in numbered(df, "k", "t", "tie", span_us=97).collect()}
+    got = {(r["k"], r["t"], r["tie"]): r["pos"] for r in numbered(df, "k", "t", "tie").collect()}
     want = {r: i for i, r in enumerate(sorted(r for r in rows if r[0] == "a"))}
     want["b", 3, 2] = 0
     assert got == want
 
 
+def test_one_capture_within_a_minute_is_shared_out(spark, monkeypatch):
+    """No partition gets more than twice the mean, ties in time included."""
+    from seqloom.operators import ordered
+
+    written = {}
+    real = ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", lambda df, tag: written.setdefault(tag, real(df, tag)))
+    df = spark.range(60_000).select(F.lit("one").alias("k"), F.floor(F.col("id") / 20_000).alias("t"), F.col("id").alias("tie"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = numbered(df.repartition(3), "k", "t", "tie")
+        assert out.where("pos <> tie").count() == 0 and out.count() == 60_000
+        sizes = [r[1] for r in written["ordered"].groupBy(F.shiftright("_at", 33)).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 2 * 60_000 / len(sizes)
+
+
+def test_reindex(spark):
+    rows, df = events(spark, random.Random(3))
+    got = {(r["capture_id"], r["old"]): r["pos"] for r in S.reindex(df.withColumn("old", F.col("pos")), F.col("category") != "w").collect()}
+    assert got == {(c, r[1]): i for c, rs in by_capture(rows).items() for i, r in enumerate([r for r in rs if r[2] != "w"])}
+
+
 def test_framed_next_last_running(spark):
     rows, df = events(spark, random.Random(2))
     df = S.framed(df, 3, 2, back=lambda w: F.lag("category", 3).over(w), ahead=lambda w: F.lead("category", 2).over(w))
