@@ -218,11 +218,6 @@ def decoded_category(name: Column, path: Column, route: Column, rules: Rules = R
     return F.when(F.coalesce(name, F.lit("")) != "", F.struct(d["rule_id"].alias("rule_id"), d["category"].alias("category"))).otherwise(rest)
 
 
-def hint(name: str, hints: Rules = HINTS) -> str | None:
-    """The category that a name hints at."""
-    return next((c for p, c in hints if re.search(p, name, re.I)), None)
-
-
 def unreachable(rules: Rules = RULES) -> list[tuple[int, int]]:
     """(rule, earlier rule) where each plain alternative of a rule already matches an earlier rule."""
     compiled = [re.compile(p, re.I) for p, _ in rules]

@@ -7,13 +7,13 @@ trigrams of a pair, which an exact prefix bound makes enough.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.rules import HINTS, Rules, hint
+from seqloom.functions.rules import HINTS, Rules
+from seqloom.operators.ordered import numbered
+from seqloom.session import materialise
 
 THRESHOLD, LEAST_COUNT, LEAST_COMMON = 0.45, 2, 4
 
@@ -51,59 +51,104 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.where(F.col("common") / F.col("either") > threshold)
 
 
-def merge_clusters(names: list[str], edges: dict[tuple[str, str], float], threshold: float = THRESHOLD) -> list[list[str]]:
-    """Clusters by the similarity of their first members: the closest pair merges first, ties in list order.
+def merge_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, root, path): the cluster of each name, told by its first member, and its place in it.
 
-    ``edges`` holds the pairs above the threshold; as only first members compare, no other pair matters.
-    """
-    place = {n: i for i, n in enumerate(names)}
-    clusters: dict[int, list[str]] = {i: [n] for i, n in enumerate(names)}
-    near = sorted(((-s, *sorted((place[a], place[b]))) for (a, b), s in edges.items() if a in place and b in place and s > threshold))
-    for _, i, j in near:  # a first member never changes and only leaves by being merged
-        if i in clusters and j in clusters:
-            clusters[i] += clusters.pop(j)
-    return sorted(clusters.values(), key=lambda c: -len(c))
-
-
-def common_part(names: list[str]) -> str:
-    """The longest string that all names contain; of equally long ones the earliest in the shortest name."""
-    short = min(names, key=len)
-    for size in range(len(short), 0, -1):
-        for at in range(len(short) - size + 1):
-            if all(short[at : at + size] in n for n in names):
-                return short[at : at + size]
-    return ""
-
-
-def cluster_pattern(names: list[str], least: int = LEAST_COMMON) -> str:
-    """A pattern for a cluster: its common part if long enough, else its first three names."""
-    if len(names) == 1:
-        return re.escape(names[0])
-    part = common_part(names)
-    return re.escape(part) if len(part) >= least else "|".join(re.escape(n) for n in names[:3])
-
-
-def cluster_category(names: list[str], hints: Rules = HINTS) -> str:
-    """The hint most names give (the earliest of equal ones); without any, by the ending of the first name."""
-    votes = Counter(h for n in names if (h := hint(n, hints)))
-    if votes:
-        return votes.most_common(1)[0][0]
-    return "act" if names[0].endswith("Mutation") else "view" if names[0].endswith("Query") else "nav"
-
-
-def propose_rules(names: DataFrame, name: str = "friendly", least: int = LEAST_COUNT, threshold: float = THRESHOLD, most: int = 20_000) -> DataFrame:
-    """(pattern, category, n_names, n_events, example): a rule table for review.
-
-    Undecoded names are a decoder's backlog: after counting, distinct names and their edges come to
-    the driver, which is refused beyond ``most`` names (raise ``least`` then).
+    ``names`` has (name, place), ``edges`` (a, b, similarity) of the pairs that may merge.  Clusters
+    compare by their first members: the closest pair merges first (of equal ones by place), the first
+    member with the greater place leaves.  As a pair's similarity never changes, a pair that comes
+    before all others of both its members merges whatever happens elsewhere; so each round merges all
+    such pairs at once, and drops the pairs of the members that left.  ``path`` orders a cluster: its
+    first member has none, and what merged into a member follows it in the order of merging.
     """
     spark = names.sparkSession
-    counts = name_counts(names, name, least)
-    rows = counts.orderBy(F.desc("n"), "name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct names; raise the least count")
-    n = {r["name"]: r["n"] for r in rows}
-    edges = {(r["a"], r["b"]): r["common"] / r["either"] for r in similar_pairs(counts, threshold).collect()}
-    out = [(cluster_pattern(c), cluster_category(c), len(c), sum(n[x] for x in c), c[0]) for c in merge_clusters(list(n), edges, threshold)]
-    return spark.createDataFrame(out, "pattern string, category string, n_names bigint, n_events bigint, example string")
+    place = names.select("name", "place")
+    live = edges.join(place.withColumnsRenamed({"name": "a", "place": "pa"}), "a").join(place.withColumnsRenamed({"name": "b", "place": "pb"}), "b")
+    key = F.struct((-F.col("similarity")).alias("far"), F.least("pa", "pb").alias("stays"), F.greatest("pa", "pb").alias("leaves"))
+    live = materialise(live.select(key.alias("key")), "edges")
+    merges = spark.createDataFrame([], "name bigint, up bigint, path array<struct<far:double,stays:bigint,leaves:bigint>>")
+    while not live.isEmpty():
+        ends = live.select("key", F.explode(F.array("key.stays", "key.leaves")).alias("p")).groupBy("p").agg(F.min("key").alias("best"))
+        at = lambda end: ends.select(F.col("p").alias(f"_{end}"), F.col("best").alias(f"_best_{end}"))
+        both = live.join(at("stays"), F.col("key.stays") == F.col("_stays")).join(at("leaves"), F.col("key.leaves") == F.col("_leaves"))
+        now = both.where((F.col("key") == F.col("_best_stays")) & (F.col("key") == F.col("_best_leaves"))).select("key")
+        now = materialise(now, "merges")
+        merges = merges.unionByName(now.select(F.col("key.leaves").alias("name"), F.col("key.stays").alias("up"), F.array("key").alias("path")))
+        gone = now.select(F.col("key.leaves").alias("_gone"))
+        live = live.join(gone, F.col("key.stays") == F.col("_gone"), "left_anti").join(gone, F.col("key.leaves") == F.col("_gone"), "left_anti")
+        live = materialise(live, "edges")
+    # from the member it merged into to that one's, twice as far each round
+    while True:
+        merges = materialise(merges, "merges")
+        above = merges.select(F.col("name").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        if merges.join(above, "up", "left_semi").isEmpty():
+            break
+        merges = merges.join(above, "up", "left").select("name", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_path", F.array().cast(merges.schema["path"].dataType)), F.col("path")).alias("path"))
+    member = place.join(merges.withColumnRenamed("name", "place"), "place", "left").select("name", F.coalesce("up", "place").alias("place"), F.coalesce("path", F.array().cast(merges.schema["path"].dataType)).alias("path"))
+    return member.join(place.withColumnRenamed("name", "root"), "place").select("name", "root", "path")
+
+
+def _match_lengths(short: str, name: str) -> list[int]:
+    """For each place of ``short``, how much from there on stands somewhere in ``name``."""
+    out, size = [], 0
+    for at in range(len(short)):
+        size = max(0, size - 1)  # at least what was left of the match from the place before
+        while at + size < len(short) and short[at : at + size + 1] in name:
+            size += 1
+        out.append(size)
+    return out
+
+
+def match_lengths(short: str, name: str) -> Column:
+    @F.pandas_udf("array<int>")
+    def lengths(shorts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_match_lengths(a, b) for a, b in zip(shorts, names)])
+
+    return lengths(short, name)
+
+
+def common_parts(clusters: DataFrame) -> DataFrame:
+    """(root, n, part): how many names a cluster has, and the longest string that all names of a cluster contain; of equally long ones the
+    earliest in its shortest name.
+
+    Each name tells how far it matches from every place of the shortest one; the least of these over
+    all names is how long a common part from there is.
+    """
+    short = clusters.groupBy("root").agg(F.min(F.struct(F.length("name").alias("n"), "path", "name"))["name"].alias("short"))
+    each = clusters.join(short, "root").select("root", "short", F.posexplode(match_lengths("short", "name")).alias("at", "size"))
+    least = each.groupBy("root", "short", "at").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    best = least.groupBy("root", "short").agg(F.min(F.struct((-F.col("size")).alias("size"), "at")).alias("b"), F.max("n").alias("n"))
+    return best.select("root", "n", F.substring("short", F.col("b.at") + 1, -F.col("b.size")).alias("part"))
+
 
+def escaped(text: Column) -> Column:
+    """Text as a pattern that matches it."""
+    return F.regexp_replace(text, r"([\\.^$*+?{}\[\]|()\-&#~\s])", r"\\$1")
+
+
+def cluster_rules(clusters: DataFrame, hints: Rules = HINTS, least: int = LEAST_COMMON) -> DataFrame:
+    """(root, pattern, category) of each cluster (name, root, path).
+
+    The pattern is the common part where it is long enough, else the first three names; the category
+    is the hint most names give (of equal ones that of the earlier name), without any that of the
+    first member's ending.
+    """
+    first = clusters.withColumn("i", F.row_number().over(Window.partitionBy("root").orderBy("path"))).where("i <= 3")
+    first = first.groupBy("root").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", escaped(F.col("name")).alias("p")))), lambda x: x["p"]), "|").alias("first"))
+    told = F.coalesce(*(F.when(F.col("name").rlike(f"(?i){p}"), c) for p, c in hints), F.lit(None).cast("string"))
+    votes = clusters.withColumn("hint", told).where("hint is not null").groupBy("root", "hint").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    votes = votes.groupBy("root").agg(F.min_by("hint", F.struct(-F.col("n"), "path")).alias("hint"))
+    ending = F.when(F.col("root").endswith("Mutation"), "act").when(F.col("root").endswith("Query"), "view").otherwise("nav")
+    rows = first.join(common_parts(clusters), "root").join(votes, "root", "left")
+    long = (F.length("part") >= least) | (F.col("n") == 1)  # a name alone is its own part
+    return rows.select("root", F.when(long, escaped(F.col("part"))).otherwise(F.col("first")).alias("pattern"), F.coalesce("hint", ending).alias("category"))
+
+
+def propose_rules(names: DataFrame, name: str = "friendly", least: int = LEAST_COUNT, threshold: float = THRESHOLD) -> DataFrame:
+    """(pattern, category, n_names, n_events, example): a rule table for review, from names no rule decodes."""
+    counts = materialise(name_counts(names, name, least), "names")
+    edges = similar_pairs(counts, threshold).select("a", "b", (F.col("common") / F.col("either")).alias("similarity"))
+    by_count = numbered(counts.select(F.lit(0).alias("all"), "name", "n", (-F.col("n")).alias("few")), "all", "few", "name", "place")
+    clusters = materialise(merge_clusters(by_count, edges), "clusters")
+    sizes = clusters.join(counts, "name").groupBy("root").agg(F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_events"))
+    return cluster_rules(clusters).join(sizes, "root").select("pattern", "category", "n_names", "n_events", F.col("root").alias("example"))

@@ -208,9 +208,24 @@ def _busy(ev: DataFrame, seconds: int) -> DataFrame:
 
 
 def _dense(busy: DataFrame) -> DataFrame:
-    """(capture_id, bucket, n) with the empty buckets."""
-    spine = busy.where("bucket = 0").select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_buckets") - 1)).alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    return busy.select(KEY, "bucket", "n").unionByName(spine).groupBy(KEY, "bucket").agg(F.sum("n").alias("n"))
+    """(capture_id, bucket, n) with the empty buckets: laid out block by block, so that no empty bucket is shuffled."""
+    block = F.floor(F.col("bucket") / BLOCK).cast("bigint")
+    packed = busy.groupBy(KEY, block.alias("_block")).agg(F.collect_list(F.pmod(F.col("bucket"), F.lit(BLOCK))).alias("at"), F.collect_list("n").alias("v"))
+    spine = busy.where("bucket = 0").select(KEY, "n_buckets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_buckets") - 1) / BLOCK).cast("bigint"))).alias("_block"))
+
+    @F.pandas_udf("array<bigint>")
+    def laid_out(at: pd.Series, v: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for p, x, n in zip(at, v, size):
+            dense = np.zeros(int(n), np.int64)
+            if p is not None:
+                dense[np.asarray(p)] = x
+            out.append(dense)
+        return pd.Series(out)
+
+    size = F.least(F.lit(BLOCK), F.col("n_buckets") - F.col("_block") * BLOCK)
+    rows = spine.join(packed, [KEY, "_block"], "left").select(KEY, "_block", F.posexplode(laid_out("at", "v", size)).alias("i", "n"))
+    return rows.select(KEY, (F.col("_block") * BLOCK + F.col("i")).alias("bucket"), "n")
 
 
 def rhythm_buckets(ev: DataFrame, seconds: int = 60) -> DataFrame:
@@ -264,50 +279,100 @@ def _trend(busy: DataFrame) -> DataFrame:
     s = busy.groupBy(KEY).agg(F.max("n_buckets").alias("n_buckets"), F.sum("n").cast("double").alias("sy"), F.sum(F.col("n").cast("double") * F.col("bucket")).alias("sxy"))
     n, x = F.col("n_buckets").cast("double"), (F.col("n_buckets") - 1) / 2.0
     slope = (F.col("sxy") - F.col("sy") * x) / (n * (n * n - 1) / 12.0)
-    return s.withColumn("slope", slope).select(KEY, "n_buckets", "slope", (F.col("sy") / n - F.col("slope") * x).alias("intercept"))
+    return s.withColumn("slope", slope).select(KEY, "n_buckets", "sy", "sxy", "slope", (F.col("sy") / n - F.col("slope") * x).alias("intercept"))
+
 
+def autocorrelation(ev: DataFrame, seconds: int = 60, lags: int = 60) -> DataFrame:
+    """(capture_id, lag, r) of the detrended buckets, for lags below min(60, half the buckets).
 
-def _detrended(ev: DataFrame, seconds: int) -> DataFrame:
+    Empty buckets are never made.  With n the counts and L the line, the products (n - L)(n' - L') sum
+    up to n n' over busy buckets, which meet in blocks of bucket numbers; n L' and L n', which follow
+    from all counts but those of the first or last ``lags`` buckets; and L L', which is a closed form.
+    """
     busy = materialise(_busy(ev, seconds), "buckets")
-    dense = _dense(busy).select(KEY, F.col("bucket").alias("pos"), "n")
-    return beside(dense, _trend(busy).withColumn("_top", F.col("n_buckets") - 1)).withColumn("bucket", F.col("pos")).select(KEY, "pos", "n_buckets", (F.col("n") - (F.col("slope") * F.col("bucket") + F.col("intercept"))).alias("x"))
+    trend = _trend(busy)
+    block = F.floor(F.col("bucket") / BLOCK).cast("bigint")
+    homes = F.when((F.pmod(F.col("bucket"), F.lit(BLOCK)) < lags) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    spread = busy.select(KEY, "bucket", "n", F.explode(homes).alias("_block"))
+    packed = spread.groupBy(KEY, "_block").agg(F.collect_list(F.pmod(F.col("bucket") - F.col("_block") * BLOCK, F.lit(2 * BLOCK))).alias("at"), F.collect_list(F.col("n").cast("double")).alias("v"))
+    width = BLOCK  # as the worker must see it
 
+    @F.pandas_udf("array<double>")
+    def products(at: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for p, x in zip(at, v):
+            dense = np.zeros(width + lags)
+            dense[np.asarray(p)] = x
+            own = dense[:width]
+            out.append([float(own @ dense[k : k + width]) for k in range(lags)])
+        return pd.Series(out)
 
-def autocorrelation(ev: DataFrame, seconds: int = 60, lags: int = 60) -> DataFrame:
-    """(capture_id, lag, r) of the detrended buckets, for lags below min(60, half the buckets)."""
-    ahead = framed(_detrended(ev, seconds), 0, lags - 1, near=lambda w: F.collect_list("x").over(w.rowsBetween(0, lags - 1)))
-    sums = ahead.groupBy(KEY).agg(F.max("n_buckets").alias("n"), *(F.sum(F.col("x") * F.try_element_at("near", F.lit(i + 1))).alias(f"s{i}") for i in range(lags)))
-    rows = sums.select(KEY, "n", "s0", F.posexplode(F.array(*(F.col(f"s{i}") for i in range(lags)))).alias("lag", "s"))
-    return rows.where("lag < floor(n / 2)").select(KEY, F.col("lag").cast("bigint").alias("lag"), rounded(F.coalesce("s", F.lit(0.0)) / F.when(F.col("s0") == 0, 1.0).otherwise(F.col("s0"))).alias("r"))
+    nn = packed.select(KEY, F.posexplode(products("at", "v")).alias("lag", "s")).groupBy(KEY, "lag").agg(F.sum("s").alias("nn"))
+    # the counts and count-weighted places of the first and of the last k buckets
+    head, tail = F.col("bucket"), F.col("n_buckets") - 1 - F.col("bucket")
+    ends = busy.where((head < lags) | (tail < lags)).select(KEY, "n", "bucket", F.explode(F.array(F.struct(F.lit(True).alias("head"), head.alias("d")), F.struct(F.lit(False).alias("head"), tail.alias("d")))).alias("e")).where(F.col("e.d") < lags - 1)
+    ends = ends.select(KEY, "n", "bucket", F.col("e.head").alias("head"), F.explode(F.sequence(F.col("e.d") + 1, F.lit(lags - 1).cast("bigint"))).alias("lag"))
+    part = lambda first, c: F.coalesce(F.sum(F.when(F.col("head") == first, c)), F.lit(0.0))
+    n, place = F.col("n").cast("double"), F.col("n").cast("double") * F.col("bucket")
+    ends = ends.groupBy(KEY, "lag").agg(part(True, n).alias("h0"), part(True, place).alias("h1"), part(False, n).alias("t0"), part(False, place).alias("t1"))
+    rows = trend.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))).where((F.col("lag") < F.floor(F.col("n_buckets") / 2)))
+    rows = rows.join(nn, [KEY, "lag"], "left").join(ends.withColumn("lag", F.col("lag").cast("int")), [KEY, "lag"], "left")
+    c = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    s, i, k, m = F.col("slope"), F.col("intercept"), F.col("lag").cast("double"), (F.col("n_buckets") - F.col("lag")).cast("double")
+    ahead = s * (F.col("sxy") - c("t1")) + (s * k + i) * (F.col("sy") - c("t0"))
+    behind = s * (F.col("sxy") - c("h1")) + (i - s * k) * (F.col("sy") - c("h0"))
+    lines = s * s * (m - 1) * m * (2 * m - 1) / 6 + s * (2 * i + s * k) * (m - 1) * m / 2 + i * (s * k + i) * m
+    rows = rows.select(KEY, "lag", (c("nn") - ahead - behind + lines).alias("s"))
+    whole = rows.where("lag = 0").select(KEY, F.col("s").alias("s0"))
+    r = F.col("s") / F.when(F.col("s0") == 0, 1.0).otherwise(F.col("s0"))
+    return rows.join(whole, KEY).select(KEY, F.col("lag").cast("bigint").alias("lag"), rounded(r).alias("r"))
 
 
 def periodogram(ev: DataFrame, seconds: int = 60, segment: int = 64) -> DataFrame:
     """(capture_id, k, period, power): Welch's periodogram of the detrended buckets.
 
     Hann windows of ``segment`` buckets (all of them, where there are fewer) overlap by half, each
-    without its mean; powers average over segments.  Segments are rows of their own: a long capture
-    is many of them.
+    without its mean; powers average over segments.  Only segments with busy buckets are made, as rows
+    of their own; in the others stands nothing but the falling line, whose power is the square of the
+    slope times that of a ramp.
     """
-    x = _detrended(ev, seconds).withColumn("len", F.least("n_buckets", F.lit(segment)))
+    busy = materialise(_busy(ev, seconds), "buckets")
+    length = F.least("n_buckets", F.lit(segment))
+    trend = _trend(busy).select(KEY, "slope", length.alias("len"), (F.floor((F.col("n_buckets") - length) / F.greatest(F.floor(length / 2), F.lit(1))) + 1).alias("n_segments"))
+    x = busy.where("n > 0").withColumn("len", length)
     step = F.greatest(F.floor(F.col("len") / 2), F.lit(1))
     last = F.floor((F.col("n_buckets") - F.col("len")) / step)
-    high = F.least(F.floor(F.col("pos") / step), last)
-    low = F.greatest(F.ceil((F.col("pos") - F.col("len") + 1) / step), F.lit(0))
-    parts = x.where(low <= high).select(KEY, "pos", "len", "x", F.explode(F.sequence(low, high)).alias("seg"))
-    packed = parts.groupBy(KEY, "seg").agg(F.max("len").alias("len"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("xs"))
+    high = F.least(F.floor(F.col("bucket") / step), last)
+    low = F.greatest(F.ceil((F.col("bucket") - F.col("len") + 1) / step), F.lit(0))
+    parts = x.where(low <= high).select(KEY, "bucket", "len", "n", step.alias("step"), F.explode(F.sequence(low, high)).alias("seg"))
+    packed = parts.groupBy(KEY, "seg").agg(F.collect_list(F.col("bucket") - F.col("seg") * F.col("step")).alias("at"), F.collect_list(F.col("n").cast("double")).alias("v"))
+    packed = packed.join(trend.select(KEY, "slope", "len"), KEY)
+
+    def power(v: np.ndarray) -> np.ndarray:
+        n = len(v)
+        hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+        f = np.fft.rfft((v - v.mean()) * hann)
+        return (f.real**2 + f.imag**2) / n
 
     @F.pandas_udf("array<double>")
-    def powers(xs: pd.Series) -> pd.Series:
+    def powers(at: pd.Series, v: pd.Series, slope: pd.Series, size: pd.Series) -> pd.Series:
         out = []
-        for v in xs:
-            n = len(v)
-            hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / (n - 1)))
-            f = np.fft.rfft((np.asarray(v) - np.mean(v)) * hann)
-            out.append((f.real**2 + f.imag**2) / n)
+        for p, c, s, n in zip(at, v, slope, size):
+            dense = -s * np.arange(int(n), dtype=float)
+            dense[np.asarray(p)] += c
+            out.append(power(dense))
         return pd.Series(out)
 
-    p = packed.select(KEY, "len", F.posexplode(powers("xs")).alias("k", "power")).where("k > 0")
-    mean = p.groupBy(KEY, "k", "len").agg(F.avg("power").alias("power"))
+    @F.pandas_udf("array<double>")
+    def ramp(size: pd.Series) -> pd.Series:
+        known = {n: power(np.arange(int(n), dtype=float)) for n in size.unique()}
+        return size.map(known)
+
+    p = packed.select(KEY, F.posexplode(powers("at", "v", "slope", "len")).alias("k", "power"))
+    made = p.groupBy(KEY, "k").agg(F.sum("power").alias("power"), F.count(F.lit(1)).alias("made"))
+    rows = trend.select(KEY, "slope", "len", "n_segments", F.posexplode(ramp("len")).alias("k", "ramp")).where("k > 0").join(made, [KEY, "k"], "left")
+    empty = (F.col("n_segments") - F.coalesce("made", F.lit(0))) * F.col("slope") * F.col("slope") * F.col("ramp")
+    mean = rows.withColumn("power", (F.coalesce("power", F.lit(0.0)) + empty) / F.col("n_segments"))
     return mean.select(KEY, F.col("k").cast("bigint").alias("k"), rounded(F.col("len") / F.col("k")).alias("period"), "power").where("period >= 2")
 
 
@@ -441,15 +506,27 @@ def _predictable(ev: DataFrame, state: str) -> DataFrame:
     return seq.select(KEY, "pos", F.coalesce(F.col(state), F.lit("")).alias("state"))
 
 
+def _pairs(seq: DataFrame) -> DataFrame:
+    """Each place with the state after it."""
+    return framed(seq, 0, 1, to_state=lambda w: F.lead("state").over(w)).where("to_state is not null")
+
+
+def _first_states(seq: DataFrame, most: int) -> DataFrame:
+    """(capture_id, state, place): the first states of each capture in name order, from 1 on."""
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy("state"))
+    return seq.select(KEY, "state").distinct().withColumn("place", place).where(F.col("place") <= most)
+
+
 def markov(seq: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(capture_id, from_state, to_state, n, p): smoothed transition probabilities over the capture's own states."""
-    pairs = framed(seq, 0, 1, to_state=lambda w: F.lead("state").over(w)).where("to_state is not null")
-    n = pairs.groupBy(KEY, F.col("state").alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("n"))
-    states = seq.groupBy(KEY).agg(F.sort_array(F.collect_set("state")).alias("v"))
-    spine = n.select(KEY, "from_state").distinct().join(states, KEY).select(KEY, "from_state", F.size("v").alias("_v"), F.explode("v").alias("to_state"))
-    full = spine.join(n, [KEY, "from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = F.sum("n").over(Window.partitionBy(KEY, "from_state"))
-    return full.select(KEY, "from_state", "to_state", "n", rounded((F.col("n") + alpha) / (total + alpha * F.col("_v"))).alias("p"))
+    """(capture_id, from_state, to_state, n, p, p_unseen): the transitions that occur, smoothed over the capture's own states.
+
+    ``p_unseen`` is the probability of each state that never followed; such pairs are no rows, so the
+    table grows with what occurs and not with the square of the states.
+    """
+    n = _pairs(seq).groupBy(KEY, F.col("state").alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("n"))
+    states = seq.groupBy(KEY).agg(F.count_distinct("state").alias("_v"))
+    total = n.groupBy(KEY, "from_state").agg(F.sum("n").alias("_total")).join(states, KEY).select(KEY, "from_state", (F.col("_total") + alpha * F.col("_v")).alias("_all"))
+    return n.join(total, [KEY, "from_state"]).select(KEY, "from_state", "to_state", "n", rounded((F.col("n") + alpha) / F.col("_all")).alias("p"), rounded(alpha / F.col("_all")).alias("p_unseen"))
 
 
 def markov_routes(ev: DataFrame) -> DataFrame:
@@ -460,24 +537,6 @@ def markov_categories(ev: DataFrame) -> DataFrame:
     return markov(_predictable(ev, "category"))
 
 
-def _scored(seq: DataFrame, train: Column, test: Column, extra: list[str] | None = None) -> DataFrame:
-    """Pairs of the test part with the ranks that the training part gives their target.
-
-    ``train`` and ``test`` are conditions on the pair (pos, pos + 1) lying wholly in the part.  Of equal
-    counts the state first in order ranks first; an unseen source ranks all states in order.
-    """
-    extra = extra or []
-    pairs = framed(seq, 0, 1, to_state=lambda w: F.lead("state").over(w)).where("to_state is not null")
-    n = pairs.where(train).groupBy(KEY, *extra, "state", "to_state").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(KEY, *extra, "state").orderBy(F.desc("n"), "to_state"))
-    top = n.withColumn("rank", rank).where("rank <= 3").groupBy(KEY, *extra, "state").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "to_state"))), lambda r: r["to_state"]).alias("top"))
-    vocab = seq.groupBy(KEY).agg(F.sort_array(F.collect_set("state")).alias("_all"))
-    tested = beside(pairs.where(test).join(top, [KEY, *extra, "state"], "left"), vocab.join(_mode(seq), KEY))
-    rest = F.slice(F.array_except("_all", F.coalesce("top", F.array().cast("array<string>"))), 1, 3)
-    best = F.slice(F.concat(F.coalesce("top", F.array().cast("array<string>")), rest), 1, 3)
-    return tested.select(KEY, *extra, "to_state", "mode", best.alias("best"))
-
-
 def _mode(seq: DataFrame) -> DataFrame:
     """The most frequent state of each capture; of equal ones the first in order."""
     n = seq.groupBy(KEY, "state").agg(F.count(F.lit(1)).alias("n"))
@@ -485,24 +544,46 @@ def _mode(seq: DataFrame) -> DataFrame:
 
 
 def markov_holdout(ev: DataFrame, share: float = 0.8, state: str = "route") -> DataFrame:
-    """(capture_id, n, n_right, n_top3, n_mode): the last part of each sequence, predicted from the first."""
+    """(capture_id, n, n_right, n_top3, n_mode): the last part of each sequence, predicted from the first.
+
+    All from one table of (state, next state) counts.  Of equal counts the state first in order ranks
+    first; states that never followed come after those that did, in order.
+    """
     seq = per_capture(_predictable(ev, state), _n=F.count(F.lit(1)))
+    seq = materialise(seq, "states")
     split = F.floor(F.col("_n") * F.lit(share)).cast("bigint")
-    s = _scored(seq, F.col("pos") + 1 < split, F.col("pos") >= split)
-    return s.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("best")[0] == F.col("to_state"), 1)).alias("n_right"), F.count(F.when(F.array_contains("best", F.col("to_state")), 1)).alias("n_top3"), F.count(F.when(F.col("mode") == F.col("to_state"), 1)).alias("n_mode"))
+    cells = _pairs(seq).groupBy(KEY, "state", "to_state").agg(F.count(F.when(F.col("pos") + 1 < split, 1)).alias("train"), F.count(F.when(F.col("pos") >= split, 1)).alias("test"))
+    w = Window.partitionBy(KEY, "state")
+    trained = F.col("train") > 0
+    # a cell's rank among the trained, how many these are, and how many of them come before it in name order
+    cells = cells.withColumns({"_rank": F.row_number().over(w.orderBy(F.desc("train"), "to_state")), "_k": F.count(F.when(trained, 1)).over(w), "_before": F.count(F.when(trained, 1)).over(w.orderBy("to_state").rowsBetween(Window.unboundedPreceding, -1))})
+    first = _first_states(seq, 6).withColumnRenamed("state", "to_state")
+    tested = cells.where("test > 0").join(first, [KEY, "to_state"], "left").join(_mode(seq), KEY)
+    rank = F.when(trained, F.col("_rank")).otherwise(F.col("_k") + F.col("place") - F.col("_before"))
+    hits = lambda c: F.coalesce(F.sum(F.when(c, F.col("test"))), F.lit(0))
+    return tested.groupBy(KEY).agg(F.sum("test").alias("n"), hits(rank == 1).alias("n_right"), hits(rank <= 3).alias("n_top3"), hits(F.col("mode") == F.col("to_state")).alias("n_mode"))
 
 
 def markov_cross_validation(ev: DataFrame, folds: int = 5, state: str = "route") -> DataFrame:
-    """(capture_id, fold, n, n_right, n_mode): each of ``folds`` equal parts, predicted from all before it."""
+    """(capture_id, fold, n, n_right, n_mode): each of ``folds`` equal parts, predicted from all before it.
+
+    One table of (state, next state) counts by the first fold that may learn from a pair and the fold
+    that is tested with it; no sequence is copied.
+    """
     seq = per_capture(_predictable(ev, state), _n=F.count(F.lit(1)))
-    chunk = F.floor(F.col("_n") / (folds + 1)).cast("bigint")
-    seq = seq.where(chunk >= 10).withColumn("fold", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(folds).cast("bigint"))))
-    end = chunk * F.col("fold")
-    # the fold is part of the key, so that the copies of a sequence stay apart
-    keyed = seq.select(F.struct(KEY, "fold").alias(KEY), "pos", "state", (F.col("pos") + 1 < end).alias("_train"), ((F.col("pos") >= end) & (F.col("pos") + 1 < end + chunk)).alias("_test"))
-    s = _scored(keyed, F.col("_train"), F.col("_test"))
-    out = s.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("best")[0] == F.col("to_state"), 1)).alias("n_right"), F.count(F.when(F.col("mode") == F.col("to_state"), 1)).alias("n_mode"))
-    return out.select(f"{KEY}.{KEY}", f"{KEY}.fold", "n", "n_right", "n_mode")
+    seq = seq.withColumn("_chunk", F.floor(F.col("_n") / (folds + 1)).cast("bigint")).where("_chunk >= 10")
+    seq = materialise(seq, "states")
+    learnt = F.floor((F.col("pos") + 1) / F.col("_chunk")) + 1
+    own = F.floor(F.col("pos") / F.col("_chunk"))
+    own = F.when((own.between(1, folds)) & (F.col("pos") + 1 < F.col("_chunk") * (own + 1)), own)
+    cells = _pairs(seq).select(KEY, "state", "to_state", learnt.alias("learnt"), own.alias("own")).groupBy(KEY, "state", "to_state").agg(*(F.count(F.when(F.col("learnt") <= f, 1)).alias(f"l{f}") for f in range(1, folds + 1)), *(F.count(F.when(F.col("own") == f, 1)).alias(f"t{f}") for f in range(1, folds + 1)))
+    best = cells.groupBy(KEY, "state").agg(*(F.min(F.when(F.col(f"l{f}") > 0, F.struct(-F.col(f"l{f}"), F.col("to_state").alias("s"))))["s"].alias(f"b{f}") for f in range(1, folds + 1)))
+    sides = _mode(seq).join(_first_states(seq, 1).select(KEY, F.col("state").alias("first")), KEY)
+    rows = cells.join(best, [KEY, "state"]).join(sides, KEY)
+    by_fold = F.inline(F.array(*(F.struct(F.lit(f).cast("bigint").alias("fold"), F.col(f"t{f}").alias("t"), F.coalesce(f"b{f}", "first").alias("b")) for f in range(1, folds + 1))))
+    rows = rows.select(KEY, "to_state", "mode", by_fold).where("t > 0")
+    hits = lambda c: F.coalesce(F.sum(F.when(F.col(c) == F.col("to_state"), F.col("t"))), F.lit(0))
+    return rows.groupBy(KEY, "fold").agg(F.sum("t").alias("n"), hits("b").alias("n_right"), hits("mode").alias("n_mode"))
 
 
 def _latest(seq: DataFrame) -> DataFrame:
@@ -510,11 +591,16 @@ def _latest(seq: DataFrame) -> DataFrame:
 
 
 def next_routes(ev: DataFrame, k: int = 5) -> DataFrame:
-    """(capture_id, rank, to_state, p): the likeliest routes after the last event."""
-    seq = _predictable(ev, "route")
-    m = markov(seq).join(_latest(seq), [KEY, "from_state"])
-    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("n"), "to_state")).cast("bigint")
-    return m.withColumn("rank", rank).where(F.col("rank") <= k).select(KEY, "rank", "to_state", "p")
+    """(capture_id, rank, to_state, p): the likeliest routes after the last event; those that never followed come last, in order."""
+    seq = materialise(_predictable(ev, "route"), "states")
+    latest = _latest(seq)
+    m = markov(seq).join(latest, [KEY, "from_state"]).select(KEY, "to_state", "n", "p", "p_unseen")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(KEY).orderBy(*by)).cast("bigint")
+    seen = m.withColumn("rank", rank(F.desc("n"), "to_state")).where(F.col("rank") <= k)
+    default = m.groupBy(KEY).agg(F.max("p_unseen").alias("p"))  # a capture whose last state never led anywhere has none
+    rest = _first_states(seq, 2 * k).select(KEY, F.col("state").alias("to_state")).join(seen.select(KEY, "to_state"), [KEY, "to_state"], "left_anti").join(default, KEY)
+    every = seen.select(KEY, "to_state", "n", "p").unionByName(rest.select(KEY, "to_state", F.lit(0).cast("bigint").alias("n"), "p"))
+    return every.withColumn("rank", rank(F.desc("n"), "to_state")).where(F.col("rank") <= k).select(KEY, "rank", "to_state", "p")
 
 
 def action_probability(ev: DataFrame, steps: int = 5) -> DataFrame:
@@ -524,25 +610,21 @@ def action_probability(ev: DataFrame, steps: int = 5) -> DataFrame:
     only the paths without an action.  The chain has the twelve categories at most, so it is one small
     matrix per capture, taken in batches of captures.
     """
-    seq = _predictable(ev, "category")
-    m = markov(seq).groupBy(KEY).agg(F.collect_list(F.struct("from_state", "to_state", "p", "n")).alias("m"))  # 144 cells at most
+    seq = materialise(_predictable(ev, "category"), "states")
+    m = markov(seq).groupBy(KEY).agg(F.collect_list(F.struct("from_state", "to_state", "n")).alias("m"))  # 144 cells at most
+    m = m.join(seq.groupBy(KEY).agg(F.sort_array(F.collect_set("state")).alias("v")), KEY)
     packed = m.join(_latest(seq), KEY)
     actions = list(ACTIONS)
 
     @F.pandas_udf("p_marginal double, p_first_passage double")
-    def chance(cells: pd.Series, last: pd.Series) -> pd.DataFrame:
+    def chance(cells: pd.Series, vocabulary: pd.Series, last: pd.Series) -> pd.DataFrame:
         out = []
-        for rows, start in zip(cells, last):
-            states = sorted({r["to_state"] for r in rows})
+        for rows, states, start in zip(cells, vocabulary, last):
             index = {s: i for i, s in enumerate(states)}
-            t = np.full((len(states), len(states)), 1.0 / len(states))
-            by: dict = {}
+            t = np.full((len(states), len(states)), 0.5)
             for r in rows:
-                by.setdefault(r["from_state"], []).append(r)
-            for a, rs in by.items():
-                total = sum(r["n"] for r in rs) + 0.5 * len(states)
-                for r in rs:
-                    t[index[a], index[r["to_state"]]] = (r["n"] + 0.5) / total
+                t[index[r["from_state"]], index[r["to_state"]]] += r["n"]
+            t /= t.sum(axis=1, keepdims=True)
             act = np.array([s in actions for s in states])
             v = np.zeros(len(states))
             v[index[start]] = 1.0
@@ -555,7 +637,7 @@ def action_probability(ev: DataFrame, steps: int = 5) -> DataFrame:
             out.append((round(1 - stay, 6), round(1 - u.sum(), 6)))
         return pd.DataFrame(out, columns=["p_marginal", "p_first_passage"])
 
-    return packed.select(KEY, chance("m", "from_state").alias("p")).select(KEY, "p.p_marginal", "p.p_first_passage")
+    return packed.select(KEY, chance("m", "v", "from_state").alias("p")).select(KEY, "p.p_marginal", "p.p_first_passage")
 
 
 # -- anomalies, coverage, streaks ----------------------------------------------------------------------
@@ -580,9 +662,11 @@ def anomalies(ev: DataFrame, k: int = 10) -> DataFrame:
     ln(latency / 1000) above 1000; of equal scores the earlier event ranks first.
     """
     seq = enough(reindex(enough(ev, (F.lit(True), 50)), is_in(BEHAVIOUR)), (F.lit(True), 50)).select(KEY, "pos", "seq", "ts_us", "category", "route", "latency_ms")
-    n = markov(seq.select(KEY, "pos", F.col("category").alias("state")), 1.0)
-    total = F.sum("n").over(Window.partitionBy(KEY, "from_state")) + F.count(F.lit(1)).over(Window.partitionBy(KEY, "from_state"))
-    p = n.select(KEY, F.col("from_state").alias("_prev"), F.col("to_state").alias("category"), ((F.col("n") + 1) / total).alias("_p"))
+    seq = materialise(seq, "behaviour")
+    n = markov(seq.select(KEY, "pos", F.col("category").alias("state")), 1.0)  # every neighbour pair is among them
+    states = seq.groupBy(KEY).agg(F.count_distinct("category").alias("_v"))
+    total = n.groupBy(KEY, "from_state").agg(F.sum("n").alias("_total")).join(states, KEY)
+    p = n.join(total, [KEY, "from_state"]).select(KEY, F.col("from_state").alias("_prev"), F.col("to_state").alias("category"), ((F.col("n") + 1) / (F.col("_total") + F.col("_v"))).alias("_p"))
     s = framed(streaks(seq), 1, 0, _prev=lambda w: F.lag("category").over(w), _gap=lambda w: (F.col("ts_us") - F.lag("ts_us").over(w)) / 1e6)
     s = s.join(p, [KEY, "_prev", "category"], "left")
     score = F.when(F.col("_gap") > 0, F.log1p("_gap") * 0.4).otherwise(0.0) + F.when(F.col("_prev").isNotNull(), -F.log(F.greatest(F.coalesce("_p", F.lit(1e-6)), F.lit(1e-6)))).otherwise(0.0)

@@ -59,6 +59,18 @@ mk AS (SELECT f.capture_id, f.from_state, vo.state AS to_state, coalesce(ct.n, 0
 mp AS (SELECT *, sum(n) OVER (PARTITION BY capture_id, from_state) AS tot FROM mk)"""
 
 
+def _steps(n: int) -> str:
+    """The chain's distribution after each step (v), and that of the paths without an action (u)."""
+    one = lambda x, i, keep: f"""{x}{i} AS (SELECT x.capture_id, t.to_state AS state, sum(x.w * t.p) AS w FROM {x}{i - 1} x JOIN tm t ON t.capture_id = x.capture_id AND t.from_state = x.state {keep} GROUP BY ALL)"""
+    chains = ", ".join(one("v", i, "") + ", " + one("u", i, f"WHERE t.to_state NOT IN {_ACT}") for i in range(1, n + 1))
+    shares = ", ".join(f"q{i} AS (SELECT capture_id, coalesce(sum(w) FILTER (state IN {_ACT}), 0) AS a FROM v{i} GROUP BY capture_id)" for i in range(1, n + 1))
+    stay = " * ".join(f"(1 - q{i}.a)" for i in range(1, n + 1))
+    joins = " ".join(f"JOIN q{i} USING (capture_id)" for i in range(2, n + 1))
+    return f"""tm AS (SELECT a.capture_id, a.state AS from_state, b.state AS to_state, (coalesce(c.n, 0) + 0.5::DOUBLE) / (coalesce(sum(c.n) OVER (PARTITION BY a.capture_id, a.state), 0) + 0.5::DOUBLE * v) AS p FROM vo a JOIN vo b USING (capture_id) JOIN vn USING (capture_id) LEFT JOIN ct c ON c.capture_id = a.capture_id AND c.from_state = a.state AND c.to_state = b.state),
+v0 AS (SELECT capture_id, arg_max(state, pos) AS state, 1.0::DOUBLE AS w FROM s GROUP BY capture_id), u0 AS (SELECT * FROM v0), {chains}, {shares}, fp AS (SELECT capture_id, sum(w) AS u FROM u{n} GROUP BY capture_id)
+SELECT capture_id, {_R.format(f'1 - {stay}')} AS p_marginal, {_R.format('1 - coalesce(u, 0)')} AS p_first_passage FROM q1 {joins} LEFT JOIN fp USING (capture_id)"""
+
+
 def _score(train: str, test: str, fold: str = "") -> str:
     """Rank 1 and top 3 of the training counts, completed by the states in order."""
     k = f"capture_id{fold}"
@@ -74,8 +86,11 @@ sc AS (SELECT {', '.join('te.' + c for c in k.split(', '))}, te.nxt, rk.rank, mo
 _R = "round({}, 6) + 0.0"
 _WELCH = f"""x AS (SELECT *, least(64, n_buckets) AS len, greatest(least(64, n_buckets) // 2, 1) AS step FROM dt),
 sg AS (SELECT DISTINCT capture_id, len, step, unnest(range((n_buckets - len) // step + 1)) AS seg FROM x), y AS (SELECT x.capture_id, sg.seg, x.len, x.bucket - sg.seg * x.step AS i, x.x - avg(x.x) OVER (PARTITION BY x.capture_id, sg.seg) AS z FROM x JOIN sg ON sg.capture_id = x.capture_id AND x.bucket >= sg.seg * x.step AND x.bucket < sg.seg * x.step + x.len),
-h AS (SELECT *, z * 0.5 * (1 - cos(2 * pi() * i / (len - 1))) AS w FROM y), f AS (SELECT capture_id, seg, len, k, (power(sum(w * cos(2 * pi() * k * i / len)), 2) + power(sum(w * sin(2 * pi() * k * i / len)), 2)) / len AS pw FROM (SELECT *, unnest(range(1, len // 2 + 1)) AS k FROM h) GROUP BY capture_id, seg, len, k)
-SELECT capture_id, k, {_R.format('len / k')} AS period, round(avg(pw), 4) + 0.0 AS power FROM f GROUP BY capture_id, len, k HAVING len / k >= 2"""
+h AS (SELECT *, z * 0.5 * (1 - cos(2 * pi() * i / (len - 1))) AS w FROM y), f AS (SELECT capture_id, seg, len, k, (power(sum(w * cos(2 * pi() * k * i / len)), 2) + power(sum(w * sin(2 * pi() * k * i / len)), 2)) / len AS pw FROM (SELECT *, unnest(range(1, len // 2 + 1)) AS k FROM h) GROUP BY capture_id, seg, len, k),
+wp AS (SELECT capture_id, k, {_R.format('len / k')} AS period, avg(pw) AS power FROM f GROUP BY capture_id, len, k HAVING len / k >= 2)"""
+_POWERS = "SELECT capture_id, k, period, round(power, 4) + 0.0 AS power FROM wp"
+_DOMINANT = """wr AS (SELECT capture_id, k, period, round(power, 6) AS power FROM wp), wm AS (SELECT capture_id, list_sort(list(power))[count(*) // 2 + 1] AS floor FROM wr GROUP BY capture_id)
+SELECT capture_id, arg_min(period * 60, (-power, k)) AS seconds FROM wr JOIN wm USING (capture_id) WHERE period > 2 AND power > 2 * floor GROUP BY capture_id"""
 
 
 def _segment_summary(ev: DataFrame) -> DataFrame:
@@ -119,9 +134,9 @@ t AS (SELECT capture_id, bucket, n, median, mad, median + (3.5 / 0.6745)::DOUBLE
     "bucket_trend": (P.bucket_trend, (), f"{BASE}, {_buckets(60)}, {_TREND} SELECT capture_id, n_buckets, round(slope, 9) + 0.0 AS slope, {_R.format('intercept')} AS intercept FROM tr"),
     "bucket_autocorr": (P.autocorrelation, (), f"""{BASE}, {_buckets(60)}, {_TREND}, v AS (SELECT capture_id, sum(x * x) AS ss FROM dt GROUP BY capture_id), lg AS (SELECT dt.*, unnest(range(least(60, n_buckets // 2))) AS lag FROM dt),
 c AS (SELECT lg.capture_id, lg.lag, sum(lg.x * b.x) AS s FROM lg JOIN dt b ON b.capture_id = lg.capture_id AND b.bucket = lg.bucket + lg.lag GROUP BY ALL) SELECT capture_id, lag, {_R.format('s / CASE WHEN ss = 0 THEN 1.0 ELSE ss END')} AS r FROM c JOIN v USING (capture_id)"""),
-    "welch_periodogram": (lambda ev: P.periodogram(ev).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(60)}, {_TREND}, {_WELCH}"),
-    "welch_periodogram_900s": (lambda ev: P.periodogram(ev, 900).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(900)}, {_TREND}, {_WELCH}"),
-    "dominant_period": (P.dominant_period, (), None),
+    "welch_periodogram": (lambda ev: P.periodogram(ev).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(60)}, {_TREND}, {_WELCH} {_POWERS}"),
+    "welch_periodogram_900s": (lambda ev: P.periodogram(ev, 900).withColumn("power", P.rounded("power", 4)), (), f"{BASE}, {_buckets(900)}, {_TREND}, {_WELCH} {_POWERS}"),
+    "dominant_period": (P.dominant_period, (), f"{BASE}, {_buckets(60)}, {_TREND}, {_WELCH}, {_DOMINANT}"),
     "hover_conversion_exact": (P.hover_conversion, (), f"""{BASE}, {_HOVER}, {_NEAR} SELECT capture_id, count(*) FILTER (category = 'hover') AS n_hovers, count(*) FILTER (category = 'hover' AND delay IS NOT NULL) AS n_converted, count(*) AS n_base, count(delay) AS n_base_converted, median(CASE WHEN category = 'hover' THEN delay END) AS median_delay FROM nr GROUP BY capture_id"""),
     "hover_conversion_sampled": (lambda ev: P.hover_conversion(ev, samples=True), (), f"""{BASE}, {_HOVER}, {_NEAR}, p AS (SELECT capture_id, count(*) FILTER (category = 'hover') AS n_hovers, count(*) FILTER (category = 'hover' AND delay IS NOT NULL) AS n_converted, count(*) AS n, median(CASE WHEN category = 'hover' THEN delay END) AS median_delay FROM nr GROUP BY capture_id),
 i AS (SELECT capture_id, n, unnest(range(1, least(20 * n_hovers, n - 1) + 1)) AS i FROM p), dr AS (SELECT capture_id, ('0x' || substr(md5(i::VARCHAR), 1, 8))::BIGINT % n AS pos FROM i), b AS (SELECT dr.capture_id, count(*) AS n_base, count(nr.delay) AS n_base_converted FROM dr JOIN nr ON nr.capture_id = dr.capture_id AND nr.pos = dr.pos GROUP BY ALL)
@@ -139,12 +154,12 @@ SELECT capture_id, pos, old_rev, new_rev, category, len(list_filter(cb, lambda c
 SELECT capture_id, n, n_observed, {_R.format('sd / n_observed / 1e6')} AS mean_dwell_s, coalesce(m, -1) AS median_t_us FROM t LEFT JOIN h USING (capture_id) WHERE n_observed > 0"""),
     "telemetry_intervals": (P.telemetry_intervals, (), f"""{BASE}, g AS (SELECT capture_id, category, ts_us - lag(ts_us) OVER (PARTITION BY capture_id, category ORDER BY pos) AS gap FROM ev WHERE category IN ('self_surv', 'presence', 'notif_seen')) SELECT capture_id, category, count(*) AS n, {_R.format('coalesce(median(CASE WHEN gap > 0 THEN gap END), -1e6) / 1e6')} AS median_interval_s FROM g GROUP BY ALL"""),
     "telemetry_behaviour_30s": (P.telemetry_behaviour, (), f"""{BASE}, c AS (SELECT capture_id, pos, category, count(*) FILTER (category IN {_BEH}) OVER (PARTITION BY capture_id ORDER BY ts_us RANGE BETWEEN 30000000 PRECEDING AND 1 PRECEDING) AS n_before FROM ev) SELECT capture_id, pos, n_before FROM c WHERE category = 'self_surv'"""),
-    "markov_route_probs": (P.markov_routes, (), f"{BASE}, {_predictable('route')}, {_MARKOV} SELECT capture_id, from_state, to_state, n, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p FROM mp"),
-    "markov_category_probs": (P.markov_categories, (), f"{BASE}, {_predictable('category')}, {_MARKOV} SELECT capture_id, from_state, to_state, n, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p FROM mp"),
+    "markov_route_probs": (P.markov_routes, (), f"{BASE}, {_predictable('route')}, {_MARKOV} SELECT capture_id, from_state, to_state, n, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p, {_R.format('(0.5 / (tot + 0.5 * v))::DOUBLE')} AS p_unseen FROM mp WHERE n > 0"),
+    "markov_category_probs": (P.markov_categories, (), f"{BASE}, {_predictable('category')}, {_MARKOV} SELECT capture_id, from_state, to_state, n, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p, {_R.format('(0.5 / (tot + 0.5 * v))::DOUBLE')} AS p_unseen FROM mp WHERE n > 0"),
     "markov_holdout_accuracy": (P.markov_holdout, (), f"{BASE}, {_predictable('route')}, sf AS (SELECT *, floor(nn * 0.8::DOUBLE)::BIGINT AS split FROM s), {_score('pos + 1 < split', 'pos >= split')} SELECT capture_id, count(*) AS n, count(*) FILTER (rank = 1) AS n_right, count(*) FILTER (rank <= 3) AS n_top3, count(*) FILTER (mode = nxt) AS n_mode FROM sc GROUP BY capture_id"),
     "markov_cv": (P.markov_cross_validation, (), f"{BASE}, {_predictable('route')}, sf AS (SELECT *, nn // 6 AS ch, unnest(range(1, 6)) AS fold FROM s WHERE nn // 6 >= 10), {_score('pos + 1 < ch * fold', 'pos >= ch * fold AND pos + 1 < ch * fold + ch', ', fold')} SELECT capture_id, fold, count(*) AS n, count(*) FILTER (rank = 1) AS n_right, count(*) FILTER (mode = nxt) AS n_mode FROM sc GROUP BY capture_id, fold"),
     "next_route_topk": (P.next_routes, (), f"{BASE}, {_predictable('route')}, {_MARKOV}, la AS (SELECT capture_id, arg_max(state, pos) AS from_state FROM s GROUP BY capture_id), q AS (SELECT capture_id, to_state, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, to_state) AS rank, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p FROM mp JOIN la USING (capture_id, from_state)) SELECT capture_id, rank, to_state, p FROM q WHERE rank <= 5"),
-    "action_prob_next5": (P.action_probability, (), None),
+    "action_prob_next5": (P.action_probability, (), f"{BASE}, {_predictable('category')}, {_MARKOV}, {_steps(5)}"),
     "route_streaks": (P.longest_streaks, (), f"""{BASE}, {_sub(f'category IN {_BEH}')}, b AS (SELECT *, CASE WHEN pos > 0 AND route IS NOT DISTINCT FROM lag(route) OVER (PARTITION BY capture_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM s), i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY pos) AS isl FROM b), z AS (SELECT capture_id, isl, count(*) AS n FROM i GROUP BY ALL) SELECT capture_id, max(n) AS longest, count(*) AS n_streaks FROM z GROUP BY capture_id"""),
     "anomaly_topk": (P.anomalies, (), f"""{BASE}, {_least('ev', 'l', 'count(*) >= 50')}, {_sub(f'category IN {_BEH}', 's0', 'l')}, {_least('s0', 's1', 'count(*) >= 50')}, s AS (SELECT capture_id, pos, category AS state FROM s1), {_MARKOV}, pp AS (SELECT capture_id, from_state, to_state, (n + 1) / (tot + v) AS p FROM mp),
 b AS (SELECT s1.*, lag(category) OVER w AS prev, (ts_us - lag(ts_us) OVER w) / 1e6 AS gap, CASE WHEN pos > 0 AND route IS NOT DISTINCT FROM lag(route) OVER w THEN 0 ELSE 1 END AS new FROM s1 WINDOW w AS (PARTITION BY capture_id ORDER BY pos)), i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY pos) AS isl FROM b), z AS (SELECT *, row_number() OVER (PARTITION BY capture_id, isl ORDER BY pos) AS streak FROM i),
@@ -165,10 +180,14 @@ l AS (SELECT capture_id, category, {_R.format('CASE WHEN p0 > 0.005 THEN pb / p0
     "finding_ad_gap": (G.ad_gap, (), f"""{BASE}, {_sub(f'category IN {_ADS}', 's0')}, {_least('s0', 's', 'count(*) >= 50', "count(*) FILTER (category = 'ad') >= 3")}, a AS (SELECT capture_id, pos, category = 'ad' AS ad, unnest(range(1, 11)) AS k FROM s),
 j AS (SELECT a.capture_id, a.k, count(*) FILTER (ad) AS n, count(*) FILTER (ad AND s.category IN {_ACT}) AS n1, count(*) AS m, count(*) FILTER (s.category IN {_ACT}) AS m1 FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = a.pos + a.k GROUP BY ALL),
 c AS (SELECT capture_id, {_R.format('1 - product(1 - CASE WHEN n > 0 THEN n1 / n ELSE 0.0 END)')} AS after_ad, {_R.format('1 - product(1 - m1 / m)')} AS base FROM j GROUP BY capture_id), g AS (SELECT *, {_R.format('after_ad - base')} AS gap FROM c) SELECT capture_id, after_ad, base, gap, CASE WHEN gap > 0.02 THEN 'up' WHEN gap < -0.02 THEN 'down' ELSE 'flat' END AS direction FROM g"""),
-    "finding_revision_shift": (G.revision_shift, (), None),
 }
 
 
+PANELS["finding_revision_shift"] = (G.revision_shift, (), f"""WITH r AS ({PANELS['rev_boundary_delta'][2]}),
+p AS (SELECT capture_id, pos, avg(abs(n_after / greatest(all_after, 1) - n_before / greatest(all_before, 1))) AS s, max(rate_before) AS rb, max(rate_after) AS ra FROM r GROUP BY capture_id, pos)
+SELECT capture_id, count(*) AS n_boundaries, {_R.format('avg(s)')} AS mean_shift, round(avg(CASE WHEN rb > 0 THEN (ra - rb) / rb * 100 ELSE 0.0 END), 3) + 0.0 AS mean_rate_change_pct FROM p GROUP BY capture_id""")
+
+
 def _query(panel, extra: tuple[str, ...]):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return panel(canonical(spark, d, *extra))

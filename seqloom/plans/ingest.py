@@ -11,7 +11,7 @@ from seqloom.operators.compare import capture_summary, compare_captures, share_r
 from seqloom.operators.discover import name_counts, propose_rules, similar_pairs
 from seqloom.operators.store import CaptureStore
 from seqloom.operators.sequence import segments
-from seqloom.plans.analytics import BASE
+from seqloom.plans.analytics import BASE, PANELS
 from seqloom.session import scratch_path
 from seqloom.sources.ndjson import canonical_blobs, ordered_events, parsed, quarantine, source_repeats
 from seqloom.sources.tables import table
@@ -169,3 +169,15 @@ ORACLE = {
     "store_roundtrip": f"{BASE} SELECT capture_id, count(*) AS n_events, min(ts_us) AS t_min_us, max(ts_us) AS t_max_us FROM ev GROUP BY capture_id",
     "store_point_read": f"{BASE} SELECT capture_id, pos, seq, ts_us, category FROM ev WHERE capture_id = (SELECT capture_id FROM captures ORDER BY n_events DESC NULLS LAST, capture_id LIMIT 1)",
 }
+_panel_sql = lambda name: PANELS[name][2]
+ORACLE["summary_vector"] = f"""SELECT b.capture_id, b.n, coalesce(p.seconds / 60, 0) AS dominant_period_min, coalesce(u.n_bursts, 0) AS n_bursts, coalesce(h.lift, 0) AS hover_lift, coalesce(c.cv, 0) AS cv_route_mean
+FROM (SELECT capture_id, n_events AS n FROM ({_panel_sql('header_stats')})) b LEFT JOIN ({_panel_sql('dominant_period')}) p USING (capture_id)
+LEFT JOIN (SELECT capture_id, count(*) AS n_bursts FROM ({_panel_sql('burst_buckets_mad')}) GROUP BY capture_id) u USING (capture_id)
+LEFT JOIN (SELECT capture_id, round((n_converted / n_hovers) / (n_base_converted / n_base), 6) + 0.0 AS lift FROM ({_panel_sql('hover_conversion_exact')}) WHERE n_base_converted > 0) h USING (capture_id)
+LEFT JOIN (SELECT capture_id, round(avg(n_right / n), 6) + 0.0 AS cv FROM ({_panel_sql('markov_cv')}) GROUP BY capture_id) c USING (capture_id)"""
+ORACLE["relay_source_repeats"] = f"""WITH RECURSIVE {_LINES},
+n AS (SELECT capture_id, line_id, ts_us, route, friendly, row_number() OVER (PARTITION BY capture_id ORDER BY line_id) AS p FROM b),
+st AS (SELECT capture_id, line_id, p, ts_us AS sent, route, friendly, true AS keep FROM n WHERE p = 1
+ UNION ALL SELECT n.capture_id, n.line_id, n.p, CASE WHEN n.route = st.route AND n.friendly = st.friendly AND n.ts_us - st.sent < 500000 THEN st.sent ELSE n.ts_us END, n.route, n.friendly, NOT (n.route = st.route AND n.friendly = st.friendly AND n.ts_us - st.sent < 500000)
+ FROM st JOIN n ON n.capture_id = st.capture_id AND n.p = st.p + 1)
+SELECT capture_id, line_id FROM st WHERE keep"""

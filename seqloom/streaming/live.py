@@ -20,8 +20,11 @@ LATENESS = "10 minutes"
 
 
 def live_events(spark: SparkSession, folder: str, salt: str, lateness: str = LATENESS) -> DataFrame:
-    """Canonical events of the files that land in ``folder``, with ``ts`` as watermarked event time."""
-    ev = canonical_blobs(stream_lines(spark, folder), salt)
+    """Canonical events of the files that land in ``folder``, with ``ts`` as watermarked event time.
+
+    The folder is the capture; ``seq`` is the number its lines got on arrival.
+    """
+    ev = canonical_blobs(stream_lines(spark, folder), salt).withColumn("seq", F.col("relay_seq"))
     return ev.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", lateness)
 
 
@@ -60,9 +63,10 @@ def start(df: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoin
 
 
 def period_sink(store: PeriodStore) -> Callable[[DataFrame, int], None]:
-    """A batch function that takes events (capture_id, seq, ts_us) into a period store.
+    """A batch function that takes events (capture_id, seq, ts_us) into a period store, so that late ones correct it.
 
-    A batch that is run again after a failure finds itself in the manifest and is left out.
+    It takes what :func:`live_events` gives; events without a number are left out.  A batch that is
+    run again after a failure finds itself in the manifest and is left out.
     """
 
     def take(batch: DataFrame, number: int) -> None:
@@ -70,7 +74,7 @@ def period_sink(store: PeriodStore) -> Callable[[DataFrame, int], None]:
             return
         from seqloom.operators.events import seq_block
 
-        store.add(batch.where(is_usable()).withColumn("block", seq_block()).repartition("capture_id", "block"))
+        store.add(batch.where(is_usable() & F.col("seq").isNotNull()).withColumn("block", seq_block()).repartition("capture_id", "block"))
 
     return take
 

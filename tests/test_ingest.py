@@ -1,11 +1,15 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions.rules import HINTS, RULES, by_name, by_path, decoded_category, decoder, unreachable
-from seqloom.operators.discover import cluster_category, cluster_pattern, common_part, merge_clusters, propose_rules, similar_pairs, trigrams
+from seqloom.operators.discover import _match_lengths, cluster_rules, merge_clusters, propose_rules, similar_pairs, trigrams
+from seqloom.operators import store as store_module
 from seqloom.operators.sequence import segments
 from seqloom.operators.store import CaptureStore
+from seqloom.sources import ndjson
 from seqloom.sources.ndjson import canonical_blobs, ordered_events, quarantine, read_lines, source_repeats
 
 LINES = [
@@ -60,13 +64,51 @@ def test_similarity(spark):
         assert set(map(tuple, similar_pairs(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect())) == want
 
 
-def test_clusters(spark):
-    assert merge_clusters(["a", "b", "c"], {("a", "b"): 0.5, ("b", "c"): 0.9, ("a", "c"): 0.46}) == [["a", "b", "c"]]
-    assert merge_clusters(["a", "b", "c"], {("b", "c"): 0.9, ("a", "c"): 0.6}) == [["b", "c"], ["a"]]
-    assert common_part(["xFooBar", "yFooBaz"]) == "FooBa" and cluster_pattern(["ab", "cd"]) == "ab|cd" and cluster_pattern(["a.b"]) == r"a\.b"
-    assert cluster_category(["ProfileX"]) == "view" and cluster_category(["ZzMutation"]) == "act" and cluster_category(["Zz"]) == "nav"
+def grouped(spark, names, edges):
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place bigint")
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a string, b string, similarity double")
+    rows = merge_clusters(nodes, pairs).orderBy("root", "path").collect()
+    return {root: [r["name"] for r in rows if r["root"] == root] for root in {r["root"] for r in rows}}
+
+
+def by_hand(names, edges):
+    """The closest first members first, looked for anew after every merge."""
+    clusters = [[n] for n in names]
+    while True:
+        near = [(-edges.get((a[0], b[0]), edges.get((b[0], a[0]), 0)), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
+        near = [x for x in near if x[0] < 0]
+        if not near:
+            return {c[0]: c for c in clusters}
+        _, i, j = min(near)
+        clusters[i] += clusters.pop(j)
+
+
+def test_merging_in_rounds_against_one_at_a_time(spark):
+    assert grouped(spark, ["a", "b", "c"], {("a", "b"): 0.5, ("b", "c"): 0.9, ("a", "c"): 0.46}) == {"a": ["a", "b", "c"]}
+    assert grouped(spark, ["a", "b", "c"], {("b", "c"): 0.9, ("a", "c"): 0.6}) == {"b": ["b", "c"], "a": ["a"]}
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(40)]
+    edges = {(a, b): rng.choice([0.5, 0.6, 0.7, 0.8]) for a in names for b in names if a < b and rng.random() < 0.08}
+    assert grouped(spark, names, edges) == by_hand(names, edges)
+
+
+def test_common_parts_and_rules(spark):
+    rng = random.Random(9)
+    for a, b in [("abcabd", "xabdabc"), ("aaaa", "aa"), ("", "x"), *(("".join(rng.choices("ab", k=9)), "".join(rng.choices("ab", k=12))) for _ in range(50))]:
+        assert _match_lengths(a, b) == [max(n for n in range(len(a) - i + 1) if a[i : i + n] in b) for i in range(len(a))]
+    groups = [["xFooBar", "yFooBaz"], ["ab", "cd"], ["a.b"], ["ProfileX", "ProfileY", "GroupZ"], ["ZzMutation", "QqMutation"], ["+x (y)-#", "+x (y)-z"], ["Zz"], ["Qq", "Qqa"]]
+    rows = [(n, g[0], [(0.0, 0, i)] if i else []) for g in groups for i, n in enumerate(g)]
+    df = spark.createDataFrame(rows, "name string, root string, path array<struct<far:double,stays:bigint,leaves:bigint>>")
+    got = {r["root"]: (r["pattern"], r["category"]) for r in cluster_rules(df).collect()}
+    assert got["xFooBar"] == ("FooBa", "nav") and got["ab"] == ("ab|cd", "nav") and got["a.b"] == (r"a\.b", "nav") and got["Zz"] == ("Zz", "nav")
+    assert got["Qq"] == ("Qq|Qqa", "nav")
+    assert got["ProfileX"] == ("ProfileX|ProfileY|GroupZ", "view") and got["ZzMutation"] == ("Mutation", "act") and re.fullmatch(got["+x (y)-#"][0], "+x (y)-") and got["+x (y)-#"][1] == "nav"
+
+
+def test_proposals(spark):
     df = spark.createDataFrame([("LongOddTitleQuery",)] * 2 + [("LongOddTitleQueries",)] * 3 + [("Once",), (None,), (" ",)], "friendly string")
     assert [tuple(r) for r in propose_rules(df).collect()] == [("LongOddTitleQuer", "nav", 2, 5, "LongOddTitleQueries")]
+    assert propose_rules(df.limit(0)).collect() == []
 
 
 def test_store(spark, tmp_path):
@@ -78,4 +120,57 @@ def test_store(spark, tmp_path):
     one = store.events("a:1")
     assert [r["seq"] for r in one.collect()] == [1]
     assert "PushedFilters: [IsNotNull(capture_id), EqualTo(capture_id,a:1)]" in one._jdf.queryExecution().toString()
-    assert store.events().count() == 2 and CaptureStore(spark, str(tmp_path / "none")).captures().count() == 0
+    assert store.events("none") is None and store.events().count() == 2 and CaptureStore(spark, str(tmp_path / "none")).captures().count() == 0
+
+
+def test_store_versions(spark, tmp_path, monkeypatch):
+    """An ingest leaves other files alone, versions are put together, and what nobody names is removed."""
+    monkeypatch.setattr(store_module, "PIECES", 3)
+    store = CaptureStore(spark, str(tmp_path / "s"), buckets=2)
+    want = {}
+    for i in range(7):
+        caps = [f"c{k}" for k in range(6) if (k + i) % 3 == 0] + ["hot"]
+        rows = [(c, s, 10 * i + s) for c in caps for s in range(i + 1)]
+        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "s" / "events").rglob("*.parquet")} if i else {}
+        store.ingest(spark.createDataFrame(rows, "capture_id string, seq bigint, ts_us bigint"))
+        assert all(f.stat().st_mtime_ns == t for f, t in before.items() if f.exists())
+        want |= {c: sorted((s, 10 * i + s) for s in range(i + 1)) for c in caps}
+        got: dict = {}
+        for r in store.events().collect():
+            got.setdefault(r["capture_id"], []).append((r["seq"], r["ts_us"]))
+        assert {c: sorted(v) for c, v in got.items()} == want
+        assert {r["capture_id"]: r["n_events"] for r in store.captures().collect()} == {c: len(v) for c, v in want.items()}
+        assert sorted((r["seq"], r["ts_us"]) for r in store.events("hot").collect()) == want["hot"]
+    assert max(len(list((tmp_path / "s" / "events").glob(f"v=*/bucket={b}"))) for b in (0, 1)) <= 5
+
+
+def test_lines_of_a_file_read_in_several_splits(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.ndjson").write_text("".join(f"{i:07d} {'x' * 90}\n" for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        lines = read_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+        rows = lines.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("line_id", F.substring("line", 1, 7).cast("int").alias("i")))).alias("r")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2 and all([x["i"] for x in r["r"]] == list(range(40_000)) for r in rows) and len({x["line_id"] for x in rows[0]["r"]}) == 40_000
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_source_repeats_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ndjson, "BLOCK", block)
+    rng = random.Random(block)
+    rows, t = [], {"a": 0, "b": 0}
+    for i in range(500):
+        c = rng.choice("aab")
+        t[c] += rng.choice([0, 90, 100, 300, -120, 600])
+        rows.append((c, i, t[c] * 1000, "r" if rng.random() < 0.97 else "q", "f"))
+    last: dict = {}
+    want = []
+    for c, i, at, r, f in rows:
+        if c not in last or last[c][1:] != (r, f) or at - last[c][0] >= 500_000:
+            want.append(i)
+            last[c] = (at, r, f)
+    df = spark.createDataFrame(rows, "capture_id string, line_id bigint, ts_us bigint, route string, friendly string").repartition(4)
+    assert sorted(r["line_id"] for r in source_repeats(df).collect()) == want and len(want) < 450

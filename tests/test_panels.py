@@ -62,7 +62,7 @@ def test_ad_dose(spark):
 
 def test_markov(spark):
     states = spark.createDataFrame([("c", i, s) for i, s in enumerate("abaa")], "capture_id string, pos bigint, state string")
-    assert {(r["from_state"], r["to_state"]): r["p"] for r in P.markov(states).collect()} == {("a", "a"): 0.5, ("a", "b"): 0.5, ("b", "a"): 0.75, ("b", "b"): 0.25}
+    assert {(r["from_state"], r["to_state"]): (r["p"], r["p_unseen"]) for r in P.markov(states).collect()} == {("a", "a"): (0.5, pytest.approx(1 / 6, abs=1e-6)), ("a", "b"): (0.5, pytest.approx(1 / 6, abs=1e-6)), ("b", "a"): (0.75, 0.25)}
 
 
 def test_revision_boundaries(spark):

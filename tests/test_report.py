@@ -1,4 +1,5 @@
 import json
+import time
 import urllib.error
 import urllib.request
 
@@ -33,7 +34,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["discover", a]) == 0 and "OddTitle" in capsys.readouterr().out
     store = str(tmp_path / "store")
     assert main(["store", "ingest", store, a]) == 0 and main(["store", "list", store]) == 0 and "a.ndjson\t80" in capsys.readouterr().out
-    assert main(["store", "report", store, "a.ndjson", "-o", str(tmp_path / "s.html")]) == 0 and main(["store", "report", store, "none"]) == 1
+    assert main(["store", "report", store, f"file:{a}", "-o", str(tmp_path / "s.html")]) == 0 and main(["store", "report", store, "none"]) == 1
 
 
 def test_landing(tmp_path):
@@ -56,3 +57,18 @@ def test_landing(tmp_path):
         server.server_close()
     files = list((tmp_path / "in").glob("[0-9]*.ndjson"))
     assert len(files) == 1 and [json.loads(x)["__relay_seq"] for x in files[0].read_text().splitlines()] == [1, 2]
+
+
+def test_landing_goes_on_after_a_loss(tmp_path):
+    folder = tmp_path / "in"
+    lost = Landing(str(folder), seconds=60)
+    assert [lost.add({"__crn": "r"}) for _ in range(3)] == [1, 2, 3]
+    lost.closed.set()  # its process is gone, the file left open
+    again = Landing(str(folder), seconds=0.2)
+    assert again.add({"__crn": "s"}) == 4
+    deadline = time.monotonic() + 20
+    while len(list(folder.glob("[0-9]*.ndjson"))) < 2 and time.monotonic() < deadline:
+        time.sleep(0.05)
+    again.close()
+    numbers = [json.loads(x)["__relay_seq"] for f in sorted(folder.glob("[0-9]*.ndjson")) for x in f.read_text().splitlines()]
+    assert numbers == [1, 2, 3, 4] and not list(folder.glob("_*"))

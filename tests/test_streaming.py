@@ -48,3 +48,24 @@ def test_period_sink_takes_each_batch_once(spark, tmp_path):
     take(df.where("seq = 2"), 1)
     rows = {tuple(r) for r in store.counts().collect()}
     assert sorted((n, k) for _, _, n, k in rows) == [(1, 0), (2, 1)]
+
+
+def test_late_live_events_correct_their_period(spark, tmp_path):
+    """What lands goes through the stream into the period store; a late line changes its period, one beyond the cut-off doesn't."""
+    store = PeriodStore(spark, str(tmp_path / "store"))
+    numbers = iter(range(1, 99))
+
+    def landed(name, times):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"__req": "a", "__crn": "r", "__spin_t": BASE + t, "__relay_seq": next(numbers)}) for t in times))
+        ev = live.live_events(spark, str(tmp_path / "in"), "salt").select("capture_id", "seq", "ts_us")
+        q = live.start(ev, live.period_sink(store), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    landed("1.ndjson", [0, 1000, 2000])
+    landed("2.ndjson", [100, 9000, 200])  # 100 is late, 200 too late
+    rows = {r["period_us"]: (r["n_final"], r["n_late"]) for r in store.counts().collect()}
+    period = lambda t: (BASE + t) // 900 * 900 * 1_000_000
+    assert rows[period(0)] == (2, 1) and sum(n for n, _ in rows.values()) == 5
+    assert store.counts().select("capture_id").distinct().count() == 1
