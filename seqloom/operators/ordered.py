@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import broadcast_if_small, drop_table, materialise
+from seqloom.session import BROADCAST_BYTES, broadcast_if_small, drop_table, estimated_bytes, materialise
 
 #: Bits of ``monotonically_increasing_id`` that count within a partition.
 _WITHIN = 33
@@ -32,7 +32,9 @@ def numbered(df: DataFrame, key: str, time_us: str, tie: str, out: str = "pos")
     first = ranged.groupBy(F.col(key), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = first.select(key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    shift = broadcast_if_small(materialise(shift, "shifts"))
+    if estimated_bytes(ranged) > BROADCAST_BYTES:  # else the rows themselves are few enough to bound it
+        shift = materialise(shift, "shifts")
+    shift = broadcast_if_small(shift)
     return ranged.withColumn("_part", part).join(shift, [key, "_part"]).select(*columns, (F.col("_at") + F.col("_shift")).alias(out))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import draws
 from seqloom.operators.canonical import ACTIONS, BEHAVIOUR, CATEGORIES, SYSTEM
 from seqloom.operators.ordered import exact_medians, running
-from seqloom.operators.sequence import BLOCK, beside, framed, last_before, next_match, reindex
+from seqloom.operators.sequence import BLOCK, beside, framed, last_before, next_match, packed, reindex
 from seqloom.session import materialise
 
 KEY = "capture_id"
@@ -85,12 +85,30 @@ def action_response(ev: DataFrame, window: int = 30, least: int = 3) -> DataFram
     ``n_all`` counts all events at the offset; only view, hover, search, act, msg and ad are listed.
     """
     shown = ["view", "hover", "search", "act", "msg", "ad"]
-    around = framed(enough(ev, (is_in(RESPONSE), least)).select(KEY, "pos", "category"), window, window,
-                    near=lambda w: F.collect_list("category").over(w.rowsBetween(-window, window)), p0=lambda w: F.first("pos").over(w.rowsBetween(-window, window)))
-    hits = around.where(is_in(RESPONSE)).select(KEY, (F.col("p0") - F.col("pos")).alias("_d"), F.posexplode("near").alias("_i", "category"))
-    n = hits.groupBy(KEY, (F.col("_d") + F.col("_i")).alias("offset"), "category").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("n_all", F.sum("n").over(Window.partitionBy(KEY, "offset")))
-    return n.where(is_in(shown)).select(KEY, "offset", "category", "n", "n_all")
+    names = [*shown, *(c for c in CATEGORIES if c not in shown)]
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("category")).cast("int"), F.lit(0))  # 0 for any other
+    origin, width, size = [names.index(c) + 1 for c in RESPONSE], 2 * window + 1, BLOCK
+
+    @F.pandas_udf("array<bigint>")
+    def around(at: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for p, c in zip(at, v):
+            dense = np.full(size + 2 * window, -1)
+            dense[np.asarray(p) + window] = c
+            own = window + np.flatnonzero(np.isin(dense[window : window + size], origin))
+            n = np.zeros((width, len(shown) + 1), np.int64)
+            for k in range(width):
+                there = dense[own + k - window]
+                n[k] = np.bincount(np.where(there > len(shown), 0, there)[there >= 0], minlength=len(shown) + 1)
+            out.append(n.ravel())
+        return pd.Series(out)
+
+    blocks = packed(enough(ev, (is_in(RESPONSE), least)).select(KEY, "pos", "category"), window, window, code)
+    n = blocks.select(KEY, F.posexplode(around("at", "v")).alias("i", "n")).where("n > 0").groupBy(KEY, "i").agg(F.sum("n").alias("n"))
+    cells = len(shown) + 1
+    n = n.select(KEY, (F.floor(F.col("i") / cells) - window).cast("bigint").alias("offset"), F.pmod(F.col("i"), F.lit(cells)).alias("c"), "n")
+    n = n.withColumn("n_all", F.sum("n").over(Window.partitionBy(KEY, "offset"))).where("c > 0")
+    return n.select(KEY, "offset", F.get(F.array(*map(F.lit, shown)), F.col("c") - 1).alias("category"), "n", "n_all")
 
 
 def transitions(ev: DataFrame) -> DataFrame:
@@ -409,9 +427,27 @@ def hover_conversion(ev: DataFrame, window: int = 10, samples: bool = False) ->
 def ad_dose_response(ev: DataFrame, most: int = 30) -> DataFrame:
     """(capture_id, k, n, n_action, cumulative, base_n, base_action): actions at +k after ads, and after any event."""
     seq = enough(reindex(ev, is_in(WITH_ADS)).select(KEY, "pos", "category"), (F.lit(True), 50), (is_in(["ad"]), 3))
-    ahead = framed(seq, 0, most, near=lambda w: F.collect_list(is_in(ACTIONS)).over(w.rowsBetween(1, most)))
-    hits = ahead.select(KEY, is_in(["ad"]).alias("ad"), F.posexplode("near").alias("_k", "hit"))
-    n = hits.groupBy(KEY, (F.col("_k") + 1).alias("k")).agg(F.count(F.when(F.col("ad"), 1)).alias("n"), F.count(F.when(F.col("ad") & F.col("hit"), 1)).alias("n_action"), F.count(F.lit(1)).alias("base_n"), F.count(F.when(F.col("hit"), 1)).alias("base_action"))
+    size = BLOCK
+
+    @F.pandas_udf("array<bigint>")
+    def after(at: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for p, c in zip(at, v):
+            dense = np.full(size + most, -1)  # 1 for an ad, 2 for an action, 0 for others
+            dense[np.asarray(p)] = c
+            own = np.flatnonzero(dense[:size] >= 0)
+            ad = dense[own] == 1
+            n = []
+            for k in range(1, most + 1):
+                there = dense[own + k]
+                n += [(ad & (there >= 0)).sum(), (ad & (there == 2)).sum(), (there >= 0).sum(), (there == 2).sum()]
+            out.append(n)
+        return pd.Series(out)
+
+    blocks = packed(seq, 0, most, F.when(is_in(["ad"]), 1).when(is_in(ACTIONS), 2).otherwise(0))
+    cells = blocks.select(KEY, F.posexplode(after("at", "v")).alias("i", "c")).groupBy(KEY, "i").agg(F.sum("c").alias("c"))
+    cell = lambda j: F.sum(F.when(F.pmod(F.col("i"), F.lit(4)) == j, F.col("c")))
+    n = cells.groupBy(KEY, (F.floor(F.col("i") / 4) + 1).cast("int").alias("k")).agg(*(cell(j).alias(c) for j, c in enumerate(("n", "n_action", "base_n", "base_action")))).where("base_n > 0")
     curve = n.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("k", "n", "n_action", "base_n", "base_action"))).alias("c"))  # at most ``most`` entries
     stay = lambda upto: F.aggregate(F.slice("c", 1, upto), F.lit(1.0), lambda s, x: s * (1 - F.when(x["n"] > 0, x["n_action"] / x["n"]).otherwise(0.0)))
     out = curve.select(KEY, F.posexplode("c").alias("_i", "x"), "c")
@@ -426,15 +462,20 @@ def revision_boundaries(ev: DataFrame, window: int = 50, least: int = 10) -> Dat
     """
     seq = enough(ev, (F.lit(True), 30)).select(KEY, "pos", "category", "ts_us", F.nullif("rev", F.lit("")).alias("rev"))
     prev = last_before(seq, F.col("rev"), "_old").withColumn("_new", F.coalesce(F.col("rev").isNotNull() & (F.col("pos") > 0) & ~F.col("rev").eqNullSafe(F.col("_old")), F.lit(False)))
-    behave = F.when(is_in(BEHAVIOUR), F.col("category"))
-    sides = framed(prev, window, window, b=lambda w: F.collect_list(behave).over(w.rowsBetween(-window, -1)), a=lambda w: F.collect_list(behave).over(w.rowsBetween(0, window - 1)),
-                   nb=lambda w: F.count(F.lit(1)).over(w.rowsBetween(-window, -1)), na=lambda w: F.count(F.lit(1)).over(w.rowsBetween(0, window - 1)),
-                   tb=lambda w: F.max("ts_us").over(w.rowsBetween(-window, -1)) - F.min("ts_us").over(w.rowsBetween(-window, -1)), ta=lambda w: F.max("ts_us").over(w.rowsBetween(0, window - 1)) - F.min("ts_us").over(w.rowsBetween(0, window - 1)))
-    at = sides.where("_new").where((F.col("nb") >= least) & (F.col("na") >= least))
-    count = lambda side: F.size(F.filter(side, lambda c: c == F.col("category"))).cast("bigint")
-    rows = at.drop("category").withColumn("category", F.explode(F.array(*map(F.lit, BEHAVIOUR))))
-    rate = lambda n, t: rounded(F.col(n) / F.greatest(F.lit(1.0), F.col(t) / 1e6))
-    return rows.select(KEY, "pos", F.coalesce("_old", F.lit("")).alias("old_rev"), F.col("rev").alias("new_rev"), "category", count("b").alias("n_before"), F.size("b").cast("bigint").alias("all_before"), count("a").alias("n_after"), F.size("a").cast("bigint").alias("all_after"), rate("nb", "tb").alias("rate_before"), rate("na", "ta").alias("rate_after"))
+    prev = materialise(prev, "boundaries")
+    at = prev.where("_new").select(KEY, F.col("pos").alias("_at"), F.coalesce("_old", F.lit("")).alias("old_rev"), F.col("rev").alias("new_rev"))
+    spine = at.withColumn("pos", F.explode(F.sequence(F.col("_at") - window, F.col("_at") + window - 1)))  # boundaries are few, and only they reach out
+    near = spine.join(prev.select(KEY, "pos", "category", "ts_us"), [KEY, "pos"])
+    before = F.col("pos") < F.col("_at")
+    count = lambda c: F.count(F.when(c, 1))
+    span = lambda c: F.max(F.when(c, F.col("ts_us"))) - F.min(F.when(c, F.col("ts_us")))
+    per = near.groupBy(KEY, "_at", "old_rev", "new_rev").agg(
+        count(before).alias("nb"), count(~before).alias("na"), span(before).alias("tb"), span(~before).alias("ta"), count(before & is_in(BEHAVIOUR)).alias("all_before"), count(~before & is_in(BEHAVIOUR)).alias("all_after"),
+        F.array(*(F.struct(F.lit(c).alias("category"), count(before & is_in([c])).alias("n_before"), count(~before & is_in([c])).alias("n_after")) for c in BEHAVIOUR)).alias("c"),
+    ).where((F.col("nb") >= least) & (F.col("na") >= least))
+    rate = lambda n, t: rounded(F.col(n) / F.greatest(F.lit(1.0), F.coalesce(F.col(t), F.lit(0)) / 1e6))
+    rows = per.select(KEY, F.col("_at").alias("pos"), "old_rev", "new_rev", F.inline("c"), "all_before", "all_after", rate("nb", "tb").alias("rate_before"), rate("na", "ta").alias("rate_after"))
+    return rows.select(KEY, "pos", "old_rev", "new_rev", "category", "n_before", "all_before", "n_after", "all_after", "rate_before", "rate_after")
 
 
 # -- survival, telemetry -------------------------------------------------------------------------------

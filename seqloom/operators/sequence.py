@@ -42,6 +42,17 @@ def framed(df: DataFrame, before: int, after: int, **columns: Callable[[Window],
     return spread.select("*", *(f(w).alias(n) for n, f in columns.items())).where("_home = _block").drop("_home", "_block")
 
 
+def packed(df: DataFrame, before: int, after: int, value: Column) -> DataFrame:
+    """(capture_id, at, v): one row per block, with the places (from the block's start on, -``before`` to
+    ``BLOCK`` + ``after``) and the non-null whole-number values of its rows and of the nearest of its neighbours."""
+    if max(before, after) > BLOCK:
+        raise ValueError(f"a look may reach {BLOCK} places at most")
+    block, at = F.floor(F.col(POS) / BLOCK).cast("bigint"), F.pmod(F.col(POS), F.lit(BLOCK))
+    homes = F.array_compact(F.array(block, F.when((at < after) & (block > 0), block - 1), F.when(at >= BLOCK - before, block + 1)))
+    spread = df.select(KEY, POS, value.cast("int").alias("v"), F.explode(homes).alias("_block"))
+    return spread.groupBy(KEY, "_block").agg(F.collect_list((F.col(POS) - F.col("_block") * BLOCK).cast("int")).alias("at"), F.collect_list("v").alias("v")).drop("_block")
+
+
 def _blocked(df: DataFrame) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(POS) / BLOCK).cast("bigint")).repartition(KEY, "_block")
 
