@@ -60,6 +60,7 @@ def sessions(df: DataFrame, user: str = "user_hash", time_us: str = "ts_us", gap
     input has no sessions.
     """
     src = df.select(user, F.col(time_us).cast("bigint").alias("_t")).where(F.col(user).isNotNull() & F.col("_t").isNotNull())
+    src = materialise(src, "events")  # the bounds of the ranges are sampled from it
     kind = src.schema[user].dataType.simpleString()
     ordered = src.repartitionByRange(user, "_t").sortWithinPartitions(user, "_t")
     parts = materialise(ordered.mapInArrow(lambda it: _scan(it, gap_us, user), f"`{user}` {kind}, start_us bigint, end_us bigint, n_events bigint, edge boolean"), "sessions")
