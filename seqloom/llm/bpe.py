@@ -4,7 +4,7 @@ For every byte prefix of a piece of text there is exactly one token that ends it
 table of these last tokens is filled from left to right: a token ``t`` that starts where a prefix
 with last token ``p`` ends becomes the last token of the longer prefix if and only if the pair
 ``(p, t)`` encodes to itself.  Reading the table backwards from the end gives the encoding; a text
-that is appended to or edited near its end keeps the table of its unchanged prefix.
+that is appended to or edited keeps the tables of what didn't change (:class:`EncodedText`).
 
 Pieces are what the tokenizer's split pattern cuts.  New pieces of a batch are solved together, in
 numpy, one byte position at a time; solved pieces are remembered in a bounded table per worker.
@@ -16,6 +16,7 @@ text, special tokens are never produced.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import sys
 import unicodedata
@@ -366,6 +367,71 @@ class Encoder:
         return last
 
 
+class EncodedText:
+    """A text with the pieces it splits into and, for each, the table of last tokens.
+
+    Appending to it or editing it splits anew only from the piece before the change until the old and
+    the new pieces meet again, and of a piece that changed only what follows its unchanged prefix is
+    solved.  The ids are those of encoding the whole text afresh.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, text: str = "", splitter: Splitter | None = None):
+        self.v, self.splitter = vocabulary, splitter or Splitter()
+        self.text, self.pieces, self.tables = "", [], []
+        self.append(text)
+
+    def append(self, more: str) -> None:
+        self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replace the characters from ``start`` to before ``end``."""
+        if not 0 <= start <= end <= len(self.text):
+            raise ValueError("an edit must lie inside the text")
+        old_starts = np.cumsum([0, *map(len, self.pieces)])
+        # what follows the last visible sign before the change may split otherwise, and so may its own piece
+        seen = len(self.text[:start].rstrip())
+        first = int(np.searchsorted(old_starts, max(0, seen - 1), side="right")) - 1 if seen else 0
+        begin = int(old_starts[first]) if self.pieces else 0
+        self.text = self.text[:start] + new + self.text[end:]
+        shift, changed_to = start + len(new) - end, start + len(new)
+        reach, borders = 256, set(old_starts.tolist())
+        while True:
+            window = self.text[begin : changed_to + reach]
+            found = self.splitter.pieces(window)
+            whole = begin + len(window) == len(self.text)
+            if not whole:  # the last pieces of a window may go on behind it
+                kept = len(window.rstrip())
+                ends = np.cumsum(list(map(len, found)))
+                found = found[: int(np.searchsorted(ends, kept - 1, side="right"))]
+            ends = begin + np.cumsum(list(map(len, found)), dtype=np.int64)
+            meet = [i for i, e in enumerate(ends.tolist()) if e >= changed_to and e - shift in borders]
+            if meet or whole:
+                break
+            reach *= 4
+        last = meet[0] + 1 if meet else len(found)
+        rest = int(np.searchsorted(old_starts, ends[meet[0]] - shift)) if meet else len(self.pieces)
+        fresh, old = found[:last], self.pieces[first:rest]
+        tables = []
+        for i, piece in enumerate(fresh):
+            data, known = piece.encode("utf-8", "surrogatepass"), []
+            if i < len(old):
+                known = self.tables[first + i][: len(os.path.commonprefix([data, old[i].encode("utf-8", "surrogatepass")]))]
+            tables.append(known if len(known) == len(data) else self.v.last_tokens(data, known))
+        self.pieces[first:rest] = fresh
+        self.tables[first:rest] = tables
+
+    def ids(self) -> list[int]:
+        """The ids, read backwards from each table's end."""
+        out: list[int] = []
+        for table in self.tables:
+            part, e = [], len(table)
+            while e:
+                part.append(table[e - 1])
+                e -= int(self.v.size[table[e - 1]])
+            out += reversed(part)
+        return out
+
+
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indices of the ranges ``start[i] .. start[i] + count[i]``, one after another."""
     if not len(start):

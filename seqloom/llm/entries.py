@@ -96,7 +96,30 @@ t AS (SELECT r, lower(unnest(regexp_extract_all(friendly, '[A-Z]+[a-z]*|[a-z]+')
 c AS (SELECT term, count(*) AS n_total, count(DISTINCT r) AS n_records FROM t GROUP BY term),
 m AS (SELECT *, CASE WHEN n_records <= 3 THEN 'rare' WHEN n_records > 0.05 * (SELECT count(*) FROM n) THEN 'common' END AS mark FROM c)
 """
+
+
+def _patterns_sql() -> str:
+    """Level by level as tables of (capture, steps, place of the last step); only frequent patterns grow."""
+    route = "trim(regexp_replace(trim(e.route), '[?#].*$', ''))"
+    parts = [
+        EVENTS_SQL,
+        f"r AS (SELECT e.capture_id, d.category || '@' || {route} AS step, row_number() OVER (PARTITION BY e.capture_id ORDER BY e.ts_us, e.seq) AS pos FROM e JOIN dim_category d ON {_CAT.format('e.category')} = {_CAT.format('d.category')} WHERE e.route IS NOT NULL)",
+        "nd AS (SELECT greatest(4, ceil(round(0.03::DOUBLE * count(DISTINCT capture_id), 9))) AS need FROM r)",
+        "f1 AS (SELECT step FROM r GROUP BY step HAVING count(DISTINCT capture_id) >= (SELECT need FROM nd))",
+        "l1 AS (SELECT capture_id, step AS s1, pos FROM r WHERE step IN (SELECT step FROM f1))",
+    ]
+    for k in range(2, 6):
+        steps = [f"s{i}" for i in range(1, k)]
+        known = f"WHERE ({', '.join(steps)}) IN (SELECT ({', '.join(steps)}) FROM f{k - 1})" if k > 2 else ""
+        parts.append(f"l{k} AS (SELECT DISTINCT a.capture_id, {', '.join('a.' + x for x in steps)}, b.s1 AS s{k}, b.pos FROM (SELECT * FROM l{k - 1} {known}) a JOIN l1 b ON b.capture_id = a.capture_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 AND b.s1 NOT IN ({', '.join('a.' + x for x in steps)}))")
+        every = ", ".join([*steps, f"s{k}"])
+        parts.append(f"f{k} AS (SELECT {every}, count(DISTINCT capture_id) AS n_captures FROM l{k} GROUP BY {every} HAVING count(DISTINCT capture_id) >= (SELECT need FROM nd))")
+    found = " UNION ALL ".join(f"SELECT concat_ws(' > ', {', '.join(f's{i}' for i in range(1, k + 1))}) AS pattern, n_captures FROM f{k}" for k in range(3, 6))
+    return f"WITH {', '.join(parts)} {found}"
+
+
 ORACLE = {
+    "p2_found": _patterns_sql(),
     "p6_found": _RUNS_SQL + "count(*) AS n_events, max(ts_us) - min(ts_us) AS duration_us FROM r GROUP BY capture_id, run HAVING count(*) > 1",
     "p6_collapsed": _RUNS_SQL + "min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n_events FROM r GROUP BY capture_id, run",
     "p7_found": _TERMS_SQL + "SELECT term, n_total, n_records, mark FROM m WHERE mark IS NOT NULL",

@@ -67,6 +67,30 @@ def test_a_known_prefix_can_be_extended(vocabulary):
         assert vocabulary.last_tokens(piece, table[:cut]) == table
 
 
+def test_appends_and_edits(vocabulary, reference):
+    rng = random.Random(11)
+    encode = reference.encode_ordinary
+    text = bpe.EncodedText(vocabulary)
+    whole = ""
+    for _ in range(150):
+        more = rng.choice([random_text(rng), " ", "\n\n", "s", "'", "x", "  y", "1"])
+        if rng.random() < 0.5 or not whole:
+            text.append(more)
+            whole += more
+        else:
+            a = rng.randrange(len(whole) + 1)
+            b = min(len(whole), a + rng.choice([0, 1, 5, 40]))
+            text.edit(a, b, more)
+            whole = whole[:a] + more + whole[b:]
+        assert text.text == whole and text.ids() == encode(whole)
+    long = bpe.EncodedText(vocabulary, "word " * 2000)
+    tables = long.tables[:1000] + long.tables[1010:]
+    long.edit(5025, 5028, "other")
+    assert sum(a is b for a, b in zip(tables, long.tables[:1000] + long.tables[1010:])) >= 1980 and long.ids() == encode(long.text)
+    with pytest.raises(ValueError):
+        long.edit(5, 4, "")
+
+
 def test_every_token_is_its_own_encoding(vocabulary):
     tokens = [t for t in vocabulary.ranks if len(t) > 1]
     ids, counts = vocabulary.solve(tokens)
