@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 def sequence(spark: SparkSession, path: str, salt: str) -> DataFrame:
     """The canonical sequence that the panels read, from NDJSON files."""
+    from seqloom.functions.labels import surface
     from seqloom.session import materialise
     from seqloom.sources.ndjson import canonical_blobs, ordered_events, read_lines
 
     ev = ordered_events(canonical_blobs(read_lines(spark, path), salt))
-    ev = ev.withColumns({"pos": F.col("seq"), "surface": F.nullif("route", F.lit("")), "user": F.nullif("user_hash", F.lit(""))})
+    ev = ev.withColumns({"pos": F.col("seq"), "surface": surface(F.col("route")), "user": F.nullif("user_hash", F.lit(""))})
     return materialise(ev, "sequence")
 
 

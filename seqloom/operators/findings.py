@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.panels import KEY, action_response, ad_dose_response, hook_lift, revision_boundaries, rounded, transitions
+from seqloom.operators.panels import KEY, action_response, ad_dose_response, hook_lift, hook_permutation, revision_boundaries, rounded, transitions
 
 #: Categories that say nothing about what comes before an action.
 UNTOLD = ["nav", "self_surv", "presence", "notif_seen"]
@@ -48,6 +48,11 @@ def stars(p) -> F.Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise("")
 
 
+def tested_hooks(ev: DataFrame) -> DataFrame:
+    """(capture_id, category, p, mark) of the hooks that are tested."""
+    return hook_permutation(ev).select(KEY, "category", "p", stars(F.col("p")).alias("mark"))
+
+
 def ad_gap(ev: DataFrame, k: int = 10, band: float = 0.02) -> DataFrame:
     """(capture_id, after_ad, base, gap, direction): cumulative probability of an action within ``k`` events of an ad and of any event."""
     d = ad_dose_response(ev).where(F.col("k") <= k)

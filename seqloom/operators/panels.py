@@ -133,15 +133,38 @@ def route_visits(ev: DataFrame) -> DataFrame:
     return ev.where("surface is not null").groupBy(KEY, "surface").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hook_base(ev: DataFrame) -> DataFrame:
-    return enough(reindex(ev, is_in(WITH_ADS)).select(KEY, "pos", "category"), (F.lit(True), 20), (is_in(ACTIONS), 3))
+def _hook_base(ev: DataFrame, *columns: str) -> DataFrame:
+    return enough(reindex(ev, is_in(WITH_ADS)).select(KEY, "pos", "category", *columns), (F.lit(True), 20), (is_in(ACTIONS), 3))
+
+
+def _actions_ahead(base: DataFrame, lookback: int) -> DataFrame:
+    """Each event with the number of actions that have it among the ``lookback`` events before them."""
+    return framed(base, 0, lookback, _ahead=lambda w: F.count(F.when(is_in(ACTIONS), 1)).over(w.rowsBetween(1, lookback)))
+
+
+def _top(counts: DataFrame, k: int, *by: str) -> DataFrame:
+    """The ``k`` most frequent names of each capture, ties in name order."""
+    return counts.withColumn("_rank", F.row_number().over(Window.partitionBy(KEY, *by).orderBy(F.desc("n"), "name"))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def hook_routes(ev: DataFrame, lookback: int = 5) -> DataFrame:
+    """(capture_id, route, n): how often events of each route stand among the ``lookback`` before an action."""
+    ahead = _actions_ahead(_hook_base(ev, "route"), lookback)
+    return ahead.groupBy(KEY, F.coalesce("route", F.lit("")).alias("route")).agg(F.sum("_ahead").alias("n")).where("n > 0")
+
+
+def triggered(ev: DataFrame, k: int = 8) -> DataFrame:
+    """(capture_id, kind, name, n): the categories of a capture's actions and their ``k`` most frequent labels."""
+    actions = _hook_base(ev, "label").where(is_in(ACTIONS))
+    names = F.inline(F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("name")), F.struct(F.lit("label").alias("kind"), F.coalesce("label", F.lit("")).alias("name"))))
+    n = actions.select(KEY, names).groupBy(KEY, "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    return n.where("kind = 'category'").unionByName(_top(n.where("kind = 'label'"), k))
 
 
 def hook_lift(ev: DataFrame, lookback: int = 5) -> DataFrame:
     """(capture_id, category, n_before, n_base, lift): share among the events before actions over the base share."""
     base = _hook_base(ev)
-    before = framed(base, lookback, 0, near=lambda w: F.collect_list("category").over(w.rowsBetween(-lookback, -1)))
-    b = before.where(is_in(ACTIONS)).select(KEY, F.explode("near").alias("category")).groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("n_before"))
+    b = _actions_ahead(base, lookback).groupBy(KEY, "category").agg(F.sum("_ahead").alias("n_before"))
     n = base.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("n_base")).join(b, [KEY, "category"], "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
     w = Window.partitionBy(KEY)
     p_before = F.col("n_before") / F.greatest(F.sum("n_before").over(w), F.lit(1))
@@ -539,6 +562,17 @@ def telemetry_behaviour(ev: DataFrame, seconds: int = 30) -> DataFrame:
     return n.where(is_in(["self_surv"])).select(KEY, "pos", "n_before")
 
 
+def telemetry_labels(ev: DataFrame, k: int = 6) -> DataFrame:
+    """(capture_id, name, n): the most frequent labels of self_surv events."""
+    n = ev.where(is_in(["self_surv"])).groupBy(KEY, F.coalesce("label", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return _top(n, k)
+
+
+def telemetry_median_behaviour(ev: DataFrame, seconds: int = 30) -> DataFrame:
+    """(capture_id, median): of the behaviour events in the ``seconds`` before a self_surv event."""
+    return exact_medians(materialise(telemetry_behaviour(ev, seconds), "before"), [KEY], "n_before", 64)
+
+
 # -- prediction ----------------------------------------------------------------------------------------
 def _predictable(ev: DataFrame, state: str) -> DataFrame:
     """Behaviour and ad events (all, where there are fewer than 50) with their state and number."""
@@ -627,13 +661,26 @@ def markov_cross_validation(ev: DataFrame, folds: int = 5, state: str = "route")
     return rows.groupBy(KEY, "fold").agg(F.sum("t").alias("n"), hits("b").alias("n_right"), hits("mode").alias("n_mode"))
 
 
+def prediction_summary(ev: DataFrame) -> DataFrame:
+    """(capture_id, accuracy of routes, of their top 3, of the most frequent route, the lift over it, accuracy of
+    categories, and mean and deviation over the folds of cross validation), 0 where there is too little."""
+    part = lambda c: F.col(c) / F.col("n")
+    routes = markov_holdout(ev).select(KEY, part("n_right").alias("route"), part("n_top3").alias("top3"), part("n_mode").alias("base"))
+    categories = markov_holdout(ev, state="category").select(KEY, part("n_right").alias("category"))
+    folds = markov_cross_validation(ev).groupBy(KEY).agg(F.avg(part("n_right")).alias("mean"), F.stddev_samp(part("n_right")).alias("sd"), F.avg(part("n_mode")).alias("fold_base"))
+    out = routes.join(categories, KEY, "left").join(folds, KEY, "left")
+    names = {"route_accuracy": "route", "route_top3_accuracy": "top3", "baseline_accuracy": "base", "category_accuracy": "category", "cv_route_mean": "mean", "cv_route_sd": "sd", "cv_baseline_mean": "fold_base"}
+    lift = F.when(F.col("base") > 0, F.col("route") / F.col("base")).otherwise(0.0)
+    return out.select(KEY, *(rounded(F.coalesce(c, F.lit(0.0))).alias(n) for n, c in names.items()), rounded(lift).alias("lift_over_baseline"))
+
+
 def _latest(seq: DataFrame) -> DataFrame:
     return seq.groupBy(KEY).agg(F.max_by("state", "pos").alias("from_state"))
 
 
-def next_routes(ev: DataFrame, k: int = 5) -> DataFrame:
+def next_routes(ev: DataFrame, k: int = 5, state: str = "route") -> DataFrame:
     """(capture_id, rank, to_state, p): the likeliest routes after the last event; those that never followed come last, in order."""
-    seq = materialise(_predictable(ev, "route"), "states")
+    seq = materialise(_predictable(ev, state), "states")
     latest = _latest(seq)
     m = markov(seq).join(latest, [KEY, "from_state"]).select(KEY, "to_state", "n", "p", "p_unseen")
     rank = lambda *by: F.row_number().over(Window.partitionBy(KEY).orderBy(*by)).cast("bigint")
@@ -697,12 +744,14 @@ def longest_streaks(ev: DataFrame) -> DataFrame:
 
 
 def anomalies(ev: DataFrame, k: int = 10) -> DataFrame:
-    """(capture_id, rank, seq, score): the ``k`` behaviour events that stand out most.
+    """(capture_id, rank, seq, score, route and, where the sequence has them, label and friendly): the ``k``
+    behaviour events that stand out most.
 
     0.4 ln(1 + gap) + surprisal of the category (alpha 1) + 0.05 (streak - 20) above 20 + 0.6
     ln(latency / 1000) above 1000; of equal scores the earlier event ranks first.
     """
-    seq = enough(reindex(enough(ev, (F.lit(True), 50)), is_in(BEHAVIOUR)), (F.lit(True), 50)).select(KEY, "pos", "seq", "ts_us", "category", "route", "latency_ms")
+    told = [c for c in ("label", "friendly") if c in ev.columns]
+    seq = enough(reindex(enough(ev, (F.lit(True), 50)), is_in(BEHAVIOUR)), (F.lit(True), 50)).select(KEY, "pos", "seq", "ts_us", "category", "route", "latency_ms", *told)
     seq = materialise(seq, "behaviour")
     n = markov(seq.select(KEY, "pos", F.col("category").alias("state")), 1.0)  # every neighbour pair is among them
     states = seq.groupBy(KEY).agg(F.count_distinct("category").alias("_v"))
@@ -712,15 +761,20 @@ def anomalies(ev: DataFrame, k: int = 10) -> DataFrame:
     s = s.join(p, [KEY, "_prev", "category"], "left")
     score = F.when(F.col("_gap") > 0, F.log1p("_gap") * 0.4).otherwise(0.0) + F.when(F.col("_prev").isNotNull(), -F.log(F.greatest(F.coalesce("_p", F.lit(1e-6)), F.lit(1e-6)))).otherwise(0.0)
     score = score + F.when(F.col("streak") >= 20, (F.col("streak") - 20) * 0.05).otherwise(0.0) + F.when(F.col("latency_ms") > 1000, F.log(F.col("latency_ms") / 1000) * 0.6).otherwise(0.0)
-    s = s.select(KEY, "pos", "seq", rounded(score).alias("score"))
+    s = s.select(KEY, "pos", "seq", rounded(score).alias("score"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("route", *told)))
     rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("score"), "pos")).cast("bigint")
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).select(KEY, "rank", "seq", "score")
+    return s.withColumn("rank", rank).where(F.col("rank") <= k).drop("pos")
 
 
 def coverage(ev: DataFrame) -> DataFrame:
-    """(capture_id, n_named, n_decoded, n_nameless); nameless events are no part of the rate."""
+    """(capture_id, n_named, n_decoded, n_nameless, n_unmatched_names); nameless events are no part of the rate."""
     named = F.coalesce(F.trim("friendly") != "", F.lit(False))
-    return ev.groupBy(KEY).agg(F.count(F.when(named, 1)).alias("n_named"), F.count(F.when(named & F.col("decoded"), 1)).alias("n_decoded"), F.count(F.when(~named, 1)).alias("n_nameless"))
+    return ev.groupBy(KEY).agg(F.count(F.when(named, 1)).alias("n_named"), F.count(F.when(named & F.col("decoded"), 1)).alias("n_decoded"), F.count(F.when(~named, 1)).alias("n_nameless"), F.count_distinct(F.when(named & ~F.coalesce("decoded", F.lit(False)), F.col("friendly"))).alias("n_unmatched_names"))
+
+
+def coverage_by_category(ev: DataFrame) -> DataFrame:
+    """(capture_id, category, n) of all events."""
+    return ev.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def unmatched(ev: DataFrame, k: int = 50) -> DataFrame:

@@ -15,7 +15,7 @@ _ACT, _BEH, _ADS, _SYS = "('act', 'compose', 'msg', 'react')", "('view', 'act',
 _SHOWN = "('view', 'hover', 'search', 'act', 'msg', 'ad')"
 BASE = f"""WITH {EVENTS_SQL},
 ev AS (SELECT e.capture_id, e.seq, e.ts_us, coalesce(d.family, 'nav') AS category, trim(regexp_replace(trim(e.route), '[?#].*$', '')) AS route, r.surface, e.rev, nullif(lower(trim(e.user_hash)), '') AS usr,
- e.latency_ms, e.friendly, e.decoded, e.kind, row_number() OVER (PARTITION BY e.capture_id ORDER BY e.ts_us, e.seq) - 1 AS pos
+ e.latency_ms, e.friendly, e.label, e.decoded, e.kind, row_number() OVER (PARTITION BY e.capture_id ORDER BY e.ts_us, e.seq) - 1 AS pos
  FROM e LEFT JOIN dim_category d ON regexp_replace(lower(trim(e.category)), '[./:-]', '.') = d.category LEFT JOIN dim_route r ON trim(regexp_replace(trim(e.route), '[?#].*$', '')) = r.route)"""
 
 
@@ -161,11 +161,11 @@ SELECT capture_id, n, n_observed, {_R.format('sd / n_observed / 1e6')} AS mean_d
     "next_route_topk": (P.next_routes, (), f"{BASE}, {_predictable('route')}, {_MARKOV}, la AS (SELECT capture_id, arg_max(state, pos) AS from_state FROM s GROUP BY capture_id), q AS (SELECT capture_id, to_state, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, to_state) AS rank, {_R.format('((n + 0.5) / (tot + 0.5 * v))::DOUBLE')} AS p FROM mp JOIN la USING (capture_id, from_state)) SELECT capture_id, rank, to_state, p FROM q WHERE rank <= 5"),
     "action_prob_next5": (P.action_probability, (), f"{BASE}, {_predictable('category')}, {_MARKOV}, {_steps(5)}"),
     "route_streaks": (P.longest_streaks, (), f"""{BASE}, {_sub(f'category IN {_BEH}')}, b AS (SELECT *, CASE WHEN pos > 0 AND route IS NOT DISTINCT FROM lag(route) OVER (PARTITION BY capture_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM s), i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY pos) AS isl FROM b), z AS (SELECT capture_id, isl, count(*) AS n FROM i GROUP BY ALL) SELECT capture_id, max(n) AS longest, count(*) AS n_streaks FROM z GROUP BY capture_id"""),
-    "anomaly_topk": (P.anomalies, (), f"""{BASE}, {_least('ev', 'l', 'count(*) >= 50')}, {_sub(f'category IN {_BEH}', 's0', 'l')}, {_least('s0', 's1', 'count(*) >= 50')}, s AS (SELECT capture_id, pos, category AS state FROM s1), {_MARKOV}, pp AS (SELECT capture_id, from_state, to_state, (n + 1) / (tot + v) AS p FROM mp),
+    "anomaly_topk": (P.anomalies, ("label", "friendly"), f"""{BASE}, {_least('ev', 'l', 'count(*) >= 50')}, {_sub(f'category IN {_BEH}', 's0', 'l')}, {_least('s0', 's1', 'count(*) >= 50')}, s AS (SELECT capture_id, pos, category AS state FROM s1), {_MARKOV}, pp AS (SELECT capture_id, from_state, to_state, (n + 1) / (tot + v) AS p FROM mp),
 b AS (SELECT s1.*, lag(category) OVER w AS prev, (ts_us - lag(ts_us) OVER w) / 1e6 AS gap, CASE WHEN pos > 0 AND route IS NOT DISTINCT FROM lag(route) OVER w THEN 0 ELSE 1 END AS new FROM s1 WINDOW w AS (PARTITION BY capture_id ORDER BY pos)), i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY pos) AS isl FROM b), z AS (SELECT *, row_number() OVER (PARTITION BY capture_id, isl ORDER BY pos) AS streak FROM i),
-c AS (SELECT z.capture_id, pos, seq, {_R.format('''CASE WHEN gap > 0 THEN ln(1 + gap) * 0.4 ELSE 0 END + CASE WHEN prev IS NOT NULL THEN -ln(greatest(coalesce(p, 1e-6), 1e-6)) ELSE 0 END + CASE WHEN streak >= 20 THEN (streak - 20) * 0.05 ELSE 0 END + CASE WHEN latency_ms > 1000 THEN ln(latency_ms / 1000) * 0.6 ELSE 0 END''')} AS score FROM z LEFT JOIN pp ON pp.capture_id = z.capture_id AND pp.from_state = z.prev AND pp.to_state = z.category),
-r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, pos) AS rank FROM c) SELECT capture_id, rank, seq, score FROM r WHERE rank <= 10"""),
-    "decoder_coverage": (P.coverage, ("friendly", "decoded"), f"""{BASE} SELECT capture_id, count(*) FILTER (trim(friendly) <> '') AS n_named, count(*) FILTER (trim(friendly) <> '' AND decoded) AS n_decoded, count(*) FILTER (coalesce(trim(friendly), '') = '') AS n_nameless FROM ev GROUP BY capture_id"""),
+c AS (SELECT z.capture_id, pos, seq, coalesce(route, '') AS route, coalesce(label, '') AS label, coalesce(friendly, '') AS friendly, {_R.format('''CASE WHEN gap > 0 THEN ln(1 + gap) * 0.4 ELSE 0 END + CASE WHEN prev IS NOT NULL THEN -ln(greatest(coalesce(p, 1e-6), 1e-6)) ELSE 0 END + CASE WHEN streak >= 20 THEN (streak - 20) * 0.05 ELSE 0 END + CASE WHEN latency_ms > 1000 THEN ln(latency_ms / 1000) * 0.6 ELSE 0 END''')} AS score FROM z LEFT JOIN pp ON pp.capture_id = z.capture_id AND pp.from_state = z.prev AND pp.to_state = z.category),
+r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, pos) AS rank FROM c) SELECT capture_id, rank, seq, score, route, label, friendly FROM r WHERE rank <= 10"""),
+    "decoder_coverage": (P.coverage, ("friendly", "decoded"), f"""{BASE} SELECT capture_id, count(*) FILTER (trim(friendly) <> '') AS n_named, count(*) FILTER (trim(friendly) <> '' AND decoded) AS n_decoded, count(*) FILTER (coalesce(trim(friendly), '') = '') AS n_nameless, count(DISTINCT CASE WHEN trim(friendly) <> '' AND NOT coalesce(decoded, false) THEN friendly END) AS n_unmatched_names FROM ev GROUP BY capture_id"""),
     "unmatched_topk": (P.unmatched, ("friendly", "decoded"), f"""{BASE} SELECT friendly, count(*) AS n, CASE WHEN friendly LIKE '%Mutation' THEN 'MUT' WHEN friendly LIKE '%Query' THEN 'QRY' ELSE '?' END AS tag FROM ev WHERE NOT coalesce(decoded, false) AND trim(friendly) <> '' GROUP BY friendly ORDER BY n DESC, friendly LIMIT 50"""),
     "finding_view_change": (G.view_change, (), f"""{BASE}, {_least('ev', 'l', "count(*) FILTER (category IN ('act', 'compose', 'msg')) >= 3")}, a AS (SELECT capture_id, pos AS ap, unnest(range(-10, 11)) AS o FROM l WHERE category IN ('act', 'compose', 'msg')),
 j AS (SELECT a.capture_id, a.o, count(*) FILTER (l.category = 'view') / count(*) AS s, count(*) FILTER (l.category = 'view') AS nv FROM a JOIN l ON l.capture_id = a.capture_id AND l.pos = a.ap + a.o WHERE a.o <> 0 GROUP BY ALL),
@@ -183,6 +183,21 @@ c AS (SELECT capture_id, {_R.format('1 - product(1 - CASE WHEN n > 0 THEN n1 / n
 }
 
 
+_HOLDOUT = """sf AS (SELECT *, floor(nn * 0.8::DOUBLE)::BIGINT AS split FROM s), {} SELECT capture_id, count(*) AS n, count(*) FILTER (rank = 1) AS n_right, count(*) FILTER (rank <= 3) AS n_top3, count(*) FILTER (mode = nxt) AS n_mode FROM sc GROUP BY capture_id""".format(_score("pos + 1 < split", "pos >= split"))
+PANELS |= {
+    "hook_routes": (P.hook_routes, (), f"""{BASE}, {_HOOKS}, a AS (SELECT capture_id, pos AS ap, unnest(range(-5, 0)) AS o FROM s WHERE category IN {_ACT}) SELECT a.capture_id, coalesce(s.route, '') AS route, count(*) AS n FROM a JOIN s ON s.capture_id = a.capture_id AND s.pos = ap + o GROUP BY ALL"""),
+    "hook_triggered": (P.triggered, ("label",), f"""{BASE}, {_HOOKS}, x AS (SELECT capture_id, 'category' AS kind, category AS name, count(*) AS n FROM s WHERE category IN {_ACT} GROUP BY ALL UNION ALL SELECT capture_id, 'label' AS kind, coalesce(label, '') AS name, count(*) AS n FROM s WHERE category IN {_ACT} GROUP BY ALL)
+SELECT * FROM x QUALIFY kind = 'category' OR row_number() OVER (PARTITION BY capture_id, kind ORDER BY n DESC, name) <= 8"""),
+    "telemetry_top_labels": (P.telemetry_labels, ("label",), f"""{BASE}, x AS (SELECT capture_id, coalesce(label, '') AS name, count(*) AS n FROM ev WHERE category = 'self_surv' GROUP BY ALL) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, name) <= 6"""),
+    "telemetry_median_behaviour": (P.telemetry_median_behaviour, (), f"""SELECT capture_id, median(n_before) AS median FROM ({PANELS['telemetry_behaviour_30s'][2]}) GROUP BY capture_id"""),
+    "coverage_by_category": (P.coverage_by_category, (), f"{BASE} SELECT capture_id, category, count(*) AS n FROM ev GROUP BY ALL"),
+    "markov_category_holdout": (lambda ev: P.markov_holdout(ev, state="category"), (), f"{BASE}, {_predictable('category')}, {_HOLDOUT}"),
+    "next_category_topk": (lambda ev: P.next_routes(ev, state="category"), (), PANELS["next_route_topk"][2].replace("coalesce(route, '') AS state", "coalesce(category, '') AS state")),
+}
+PANELS["prediction_summary"] = (P.prediction_summary, (), f"""SELECT r.capture_id, {_R.format('r.n_right / r.n')} AS route_accuracy, {_R.format('r.n_top3 / r.n')} AS route_top3_accuracy, {_R.format('r.n_mode / r.n')} AS baseline_accuracy, {_R.format('coalesce(c.n_right / c.n, 0)')} AS category_accuracy,
+ {_R.format('coalesce(f.m, 0)')} AS cv_route_mean, {_R.format('coalesce(f.sd, 0)')} AS cv_route_sd, {_R.format('coalesce(f.b, 0)')} AS cv_baseline_mean, {_R.format('CASE WHEN r.n_mode > 0 THEN (r.n_right / r.n) / (r.n_mode / r.n) ELSE 0.0 END')} AS lift_over_baseline
+FROM ({PANELS['markov_holdout_accuracy'][2]}) r LEFT JOIN ({PANELS['markov_category_holdout'][2]}) c USING (capture_id)
+LEFT JOIN (SELECT capture_id, avg(n_right / n) AS m, stddev_samp(n_right / n) AS sd, avg(n_mode / n) AS b FROM ({PANELS['markov_cv'][2]}) GROUP BY capture_id) f USING (capture_id)""")
 PANELS["finding_revision_shift"] = (G.revision_shift, (), f"""WITH r AS ({PANELS['rev_boundary_delta'][2]}),
 p AS (SELECT capture_id, pos, avg(abs(n_after / greatest(all_after, 1) - n_before / greatest(all_before, 1))) AS s, max(rate_before) AS rb, max(rate_after) AS ra FROM r GROUP BY capture_id, pos)
 SELECT capture_id, count(*) AS n_boundaries, {_R.format('avg(s)')} AS mean_shift, round(avg(CASE WHEN rb > 0 THEN (ra - rb) / rb * 100 ELSE 0.0 END), 3) + 0.0 AS mean_rate_change_pct FROM p GROUP BY capture_id""")

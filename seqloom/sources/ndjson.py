@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.blobs import json_object
+from seqloom.functions.labels import labelled
 from seqloom.functions.rules import RULES, Rules, decoded_category
 from seqloom.functions.text import base36, number, stripped
 from seqloom.operators.ordered import numbered
@@ -87,7 +88,9 @@ def canonical_blobs(lines: DataFrame, salt: str, rules: Rules = RULES, line: str
     d = decoded_category(F.col("friendly"), F.col("url_path"), F.col("route"), rules)
     df = df.withColumn("_d", d)
     presence = F.col("kind") != "request"
-    return df.withColumns({"category": F.when(presence, "presence").otherwise(F.col("_d.category")), "rule_id": F.when(~presence, F.col("_d.rule_id")), "decoded": ~presence & (F.col("_d.rule_id") >= 0), "label": F.when(presence, F.col("kind")).otherwise(F.concat_ws(" ", F.col("_d.category"), F.when(F.col("_d.rule_id") >= 0, F.concat(F.lit("rule "), F.col("_d.rule_id").cast("string"))).otherwise("fallback")))}).drop("_d")
+    named = labelled(F.col("_d.rule_id"), F.col("url_path"), F.col("route"), F.col("kind"))
+    df = df.withColumns({"category": F.when(presence, "presence").otherwise(F.col("_d.category")), "rule_id": F.when(~presence, F.col("_d.rule_id")), "decoded": ~presence & (F.col("_d.rule_id") >= 0), "_l": named})
+    return df.withColumns({"label": F.col("_l.label"), "icon": F.col("_l.icon")}).drop("_d", "_l")
 
 
 def ordered_events(events: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.__main__ import main
+from seqloom.operators import panels
 from seqloom.operators.findings import stars
+from seqloom.plans import report as report_module
 from seqloom.plans.report import duration, html_table
 from seqloom.sources.landing import MOST_BYTES, Landing, serve
 
@@ -24,14 +26,15 @@ def test_values_are_escaped(spark):
     assert "<script>" not in text and "&lt;script&gt;" in text and "<th>a&lt;b</th>" in text
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     lines = [json.dumps({"__req": format(i + 1, "x"), "__crn": f"r{i % 3}", "__spin_t": 1_600_000_000 + 20 * i, "__user": "u", "fb_api_req_friendly_name": ["OddTitleQuery", "OddTitleThing", "SendMessageMutation", "Hovercard"][i % 4]}) for i in range(80)]
     (tmp_path / "a.ndjson").write_text("\n".join(lines))
     (tmp_path / "b.ndjson").write_text("\n".join(lines[:60]))
     a, b = str(tmp_path / "a.ndjson"), str(tmp_path / "b.ndjson")
-    assert main(["report", a, "-o", str(tmp_path / "r.html")]) == 0 and "<h2>Hooks</h2>" in (tmp_path / "r.html").read_text()
+    assert main(["report", a, "-o", str(tmp_path / "r.html")]) == 0 and all(x in (tmp_path / "r.html").read_text() for x in ("<h2>Hooks</h2>", "Sending a message", "<svg"))
     assert main(["diff", a, b, "-o", str(tmp_path / "d.html")]) == 0 and "Hook lifts" in (tmp_path / "d.html").read_text()
     assert main(["discover", a]) == 0 and "OddTitle" in capsys.readouterr().out
+    monkeypatch.setattr(report_module, "SECTIONS", {"Header": panels.header_stats, "Hours": panels.diurnal})
     store = str(tmp_path / "store")
     assert main(["store", "ingest", store, a]) == 0 and main(["store", "list", store]) == 0 and "a.ndjson\t80" in capsys.readouterr().out
     assert main(["store", "report", store, f"file:{a}", "-o", str(tmp_path / "s.html")]) == 0 and main(["store", "report", store, "none"]) == 1
