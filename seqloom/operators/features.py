@@ -7,8 +7,9 @@ aggregation comes before the shuffle, so an entity with a third of all rows send
 task and pane.  The panes of an entity (a fixed number) are then put side by side.
 
 Types are numbered by their order in the list; a row of no listed type adds nothing.  Null amounts,
-amounts that aren't positive, NaN and infinity, which can't be summed, add 0 to the sum
-(which is cut to a whole number at the end); a type that never occurred has count 0, sum 0 and
+amounts that aren't positive, NaN and infinity, which can't be summed, add 0 to the sum.  Whole parts
+are summed as whole numbers, exactly and in any order, the fractions beside them, and their sum is
+cut to a whole number at the end; a sum that no BIGINT holds is null.  A type that never occurred has count 0, sum 0 and
 a null time.  An entity without rows of listed types still gets its row; a null entity is one entity.
 """
 
@@ -25,12 +26,19 @@ def feature_table(df: DataFrame, entity: str, type_index: str, n_types: int, tim
     """(entity, cells): ``cells[i]`` is the struct (n, last_us, total) of type ``i``, for each of ``n_types``."""
     kind = F.col(type_index)
     src = df.select(F.col(entity), F.floor(kind / PANE).cast("int").alias("_pane"), F.pmod(kind, F.lit(PANE)).alias("_slot"), F.col(time_us).alias("_t"), F.when((amount > 0) & (amount < F.lit(float("inf"))), amount.cast("double")).alias("_a"))
+    # an amount beyond BIGINT counts as the greatest one and 1 more, which no sum survives
+    beyond = F.col("_a") >= F.lit(float(1 << 63))
+    src = src.withColumns({"_w": F.floor("_a"), "_f": F.when(beyond, F.lit(1.0)).otherwise(F.col("_a") - F.floor("_a"))})
     slots = []
     for i in range(min(PANE, n_types)):
         here = F.col("_slot") == F.lit(i)
-        slots += [F.count(F.when(here, F.lit(1))).alias(f"_n{i}"), F.max(F.when(here, F.col("_t"))).alias(f"_l{i}"), F.sum(F.when(here, F.col("_a"))).alias(f"_s{i}")]
+        slots += [F.count(F.when(here, F.lit(1))).alias(f"_n{i}"), F.max(F.when(here, F.col("_t"))).alias(f"_l{i}"), F.try_sum(F.when(here, F.col("_w"))).alias(f"_s{i}"), F.sum(F.when(here, F.col("_f"))).alias(f"_f{i}")]
     panes = src.groupBy(entity, "_pane").agg(*slots)
-    filled = F.array(*(F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_l{i}").alias("last_us"), F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("bigint").alias("total")) for i in range(min(PANE, n_types)))).cast(_CELL)
+    def total(i: int) -> Column:
+        """0 without any amount, null where no BIGINT holds the sum."""
+        return F.when(F.col(f"_f{i}").isNotNull(), F.try_add(F.col(f"_s{i}"), F.floor(f"_f{i}"))).otherwise(F.lit(0).cast("bigint"))
+
+    filled = F.array(*(F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_l{i}").alias("last_us"), total(i).alias("total")) for i in range(min(PANE, n_types)))).cast(_CELL)
     side = panes.select(entity, "_pane", F.when(F.col("_pane").isNotNull(), filled).alias("_cells"))
     side = side.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.when(F.col("_pane").isNotNull(), F.struct("_pane", "_cells")))).alias("_map"))
     none = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("last_us"), F.lit(0).cast("bigint").alias("total")), PANE)

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.rules import RULES, by_name
+from seqloom.functions.text import plain_user
 from seqloom.operators.canonical import CATEGORIES, canonical
 from seqloom.operators.compare import capture_summary, compare_captures, share_ranks, summary_vector
 from seqloom.operators.discover import name_counts, propose_rules, similar_pairs
+from seqloom.operators.events import usable_events
 from seqloom.operators.store import CaptureStore
 from seqloom.operators.sequence import segments
 from seqloom.plans.analytics import BASE, PANELS
+from seqloom.plans.problems import EVENTS_SQL
 from seqloom.session import scratch_path
 from seqloom.sources.ndjson import canonical_blobs, ordered_events, parsed, quarantine, source_repeats
 from seqloom.sources.tables import table
+from seqloom.streaming.live import live_sessions
 
 SALT = "seqloom"
 
@@ -55,6 +59,24 @@ def relay_source_repeats(spark: SparkSession, d: str) -> DataFrame:
     return source_repeats(ev).select("capture_id", "line_id")
 
 
+def event_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    """Of the events with the same user, request number and second the first."""
+    return ordered_events(canonical_blobs(_lines(spark, d), SALT)).select("capture_id", "line_id")
+
+
+def decoder_suffix_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """(category, rule_id, n): the distinct stored names that no rule matches, by what their ending tells."""
+    names = table(spark, d, "capture_events", "friendly").where("friendly <> ''").distinct().withColumn("r", by_name("friendly")).where("r.rule_id < 0")
+    return names.groupBy(F.col("r.category").alias("category"), F.col("r.rule_id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_window_user(spark: SparkSession, d: str) -> DataFrame:
+    """The live side's sessions over the stored events: windows of at most ten minutes between a user's neighbours."""
+    ev = usable_events(table(spark, d, "capture_events"), "user_hash").select(F.coalesce(plain_user("user_hash"), F.lit("")).alias("user_hash"), F.timestamp_micros("ts_us").alias("ts"))
+    s = live_sessions(ev)
+    return s.select("user_hash", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return canonical_blobs(_lines(spark, d), SALT).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -111,7 +133,7 @@ def _panel(f):
     return lambda spark, d: f(canonical(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (relay_outcomes, relay_quarantine, relay_events, relay_decoded, relay_segments, relay_source_repeats, kind_counts, decode_names, discover_counts, trigram_pairs_jaccard, cluster_regex_proposals, capture_diff_hook_lift, store_roundtrip, store_point_read)}
+QUERIES = {f.__name__: f for f in (relay_outcomes, relay_quarantine, relay_events, relay_decoded, relay_segments, relay_source_repeats, event_dedup_keep_first, decoder_suffix_fallback, session_window_user, kind_counts, decode_names, discover_counts, trigram_pairs_jaccard, cluster_regex_proposals, capture_diff_hook_lift, store_roundtrip, store_point_read)}
 QUERIES |= {"capture_summary": _panel(capture_summary), "summary_vector": _panel(summary_vector), "category_ranks": _panel(share_ranks)}
 
 _LINES = """j AS (SELECT line_id, capture_id, trim(coalesce(line, ''), ' \t\r\n') = '' AS blank, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' THEN line END AS o FROM relay_lines),
@@ -181,3 +203,8 @@ st AS (SELECT capture_id, line_id, p, ts_us AS sent, route, friendly, true AS ke
  UNION ALL SELECT n.capture_id, n.line_id, n.p, CASE WHEN n.route = st.route AND n.friendly = st.friendly AND n.ts_us - st.sent < 500000 THEN st.sent ELSE n.ts_us END, n.route, n.friendly, NOT (n.route = st.route AND n.friendly = st.friendly AND n.ts_us - st.sent < 500000)
  FROM st JOIN n ON n.capture_id = st.capture_id AND n.p = st.p + 1)
 SELECT capture_id, line_id FROM st WHERE keep"""
+ORACLE["event_dedup_keep_first"] = f"WITH {_ORDERED} SELECT capture_id, line_id FROM d"
+ORACLE["decoder_suffix_fallback"] = f"WITH n AS (SELECT DISTINCT friendly FROM capture_events WHERE friendly <> ''), x AS (SELECT ({_sql_decode('friendly')})::INT AS rule_id FROM n) SELECT {_CATEGORY_OF} AS category, rule_id, count(*) AS n FROM x WHERE rule_id < 0 GROUP BY ALL"
+ORACLE["session_window_user"] = f"""WITH {EVENTS_SQL}, u AS (SELECT lower(trim(user_hash)) AS user_hash, ts_us FROM e WHERE trim(user_hash) <> ''),
+g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_hash ORDER BY ts_us) <= 600000000 THEN 0 ELSE 1 END AS b FROM u), s AS (SELECT *, sum(b) OVER (PARTITION BY user_hash ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_hash, min(ts_us) AS start_us, max(ts_us) + 600000000 AS end_us, count(*) AS n FROM s GROUP BY user_hash, sid"""

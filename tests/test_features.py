@@ -37,5 +37,12 @@ def test_amounts_have_no_upper_bound(spark):
     assert table(spark, rows).collect()[0]["cells"][0]["total"] == 4_000_000_000_000_005
 
 
+def test_sums_are_exact(spark):
+    whole = [9007199254740992.0, 1.0, 1.0, 1.0, 2e15, 0.5, 0.75, 123.25] * 3
+    cell = lambda amounts: table(spark, [("a", 0, 1, a, "", "", 1) for a in amounts]).collect()[0]["cells"][0]["total"]
+    assert cell(whole) == 3 * (9007199254740992 + 3 + 2_000_000_000_000_000 + 123) + 4
+    assert cell([9.2e18, 9.2e18]) is None and cell([1e300]) is None and cell([9.2e18]) == 9_200_000_000_000_000_000 and cell([None, -5.0]) == 0
+
+
 def test_empty(spark):
     assert table(spark, []).collect() == []

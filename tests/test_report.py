@@ -31,9 +31,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "a.ndjson").write_text("\n".join(lines))
     (tmp_path / "b.ndjson").write_text("\n".join(lines[:60]))
     a, b = str(tmp_path / "a.ndjson"), str(tmp_path / "b.ndjson")
-    assert main(["report", a, "-o", str(tmp_path / "r.html")]) == 0 and all(x in (tmp_path / "r.html").read_text() for x in ("<h2>Hooks</h2>", "Sending a message", "<svg"))
+    assert main([a, "-o", str(tmp_path / "r.html")]) == 0 and all(x in (tmp_path / "r.html").read_text() for x in ("<h2>Hooks</h2>", "Sending a message", "<svg"))
     assert main(["diff", a, b, "-o", str(tmp_path / "d.html")]) == 0 and "Hook lifts" in (tmp_path / "d.html").read_text()
-    assert main(["discover", a]) == 0 and "OddTitle" in capsys.readouterr().out
+    assert main(["discover", a, "--html", str(tmp_path / "p.html")]) == 0 and "OddTitle" in capsys.readouterr().out and "OddTitle" in (tmp_path / "p.html").read_text()
     monkeypatch.setattr(report_module, "SECTIONS", {"Header": panels.header_stats, "Hours": panels.diurnal})
     store = str(tmp_path / "store")
     assert main(["store", "ingest", store, a]) == 0 and main(["store", "list", store]) == 0 and "a.ndjson\t80" in capsys.readouterr().out
@@ -75,3 +75,9 @@ def test_landing_goes_on_after_a_loss(tmp_path):
     again.close()
     numbers = [json.loads(x)["__relay_seq"] for f in sorted(folder.glob("[0-9]*.ndjson")) for x in f.read_text().splitlines()]
     assert numbers == [1, 2, 3, 4] and not list(folder.glob("_*"))
+
+
+def test_tables_sequence_and_panels_in_sql(spark, data, capsys):
+    assert main(["sql", data, "SELECT count(*) AS n, sum(h.n_events) AS m FROM header_stats h JOIN captures c USING (capture_id)", "--panel", "header_stats"]) == 0
+    assert "|n " in capsys.readouterr().out
+    assert spark.sql("SELECT count(*) FROM sequence s JOIN dim_route r ON s.route = r.route WHERE s.surface IS NULL").head()[0] == 0
