@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import scratch_path
+from seqloom.session import drop_path, scratch_path
 from seqloom.sources.manifest import Manifest
 
 PERIOD_US, CUTOFF_US = 900_000_000, 7_200_000_000
@@ -115,6 +115,7 @@ class PeriodStore:
         new = self._raw({p: {"raw": [raw]} for p in arrived})
         changed = [str(r[0]) for r in new.where(~rejected).select(self._part()).distinct().collect()]  # partitions, not rows
         full = [p for p in changed if len(parts[p]["raw"]) >= PIECES]
+        replaced = [f"{at}/part={p}" for p in full for at in parts[p]["raw"]] + [f"{parts[p]['counts']}/part={p}" for p in changed if parts[p]["counts"]]
         if full:
             whole = f"raw/whole={b}"
             self._in_parts(self._raw({p: parts[p] for p in full}).select("*", self._part()), whole)
@@ -126,7 +127,9 @@ class PeriodStore:
             self._in_parts(counts.select("*", part), f"counts/batch={b}")
             for p in changed:
                 parts[p]["counts"] = f"counts/batch={b}"
-        self._commit({"batches": b + 1, "parts": parts})
+        self._commit({"batches": b + 1, "parts": parts, "replaced": replaced})
+        for path in state.get("replaced", []):  # named by neither this manifest nor the one before
+            drop_path(self.spark, f"{self.path}/{path}")
 
     def counts(self) -> DataFrame:
         """(capture_id, period_us, n_final, n_late) as of the last batch."""

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import pytest
@@ -73,7 +74,9 @@ def test_batches_open_what_they_touch(spark, monkeypatch):
             first = store.manifest()["parts"]["0"]
     parts = store.manifest()["parts"]
     assert parts["0"]["counts"] == first["counts"] and all(len(p["raw"]) <= 5 for p in parts.values()) and len(parts["5"]["raw"]) < 3
-    assert set(map(tuple, store.counts().collect())) == brute(rows)[1]
+    assert set(map(tuple, store.counts().collect())) == brute(rows)[1] == set(map(tuple, store.recount().collect()))
+    written = {int(f.name.removeprefix("batch=")) for f in pathlib.Path(store.path.removeprefix("file://"), "counts").glob("batch=*") if list(f.glob("part=5"))}
+    assert len(written) <= 2  # the current one and the one before
     with pytest.raises(ValueError):
         PeriodStore(spark, period_us=7, part_us=10)
 
