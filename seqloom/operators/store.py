@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import broadcast_if_small, drop_path, estimated_bytes
+from seqloom.session import broadcast_if_small, drop_path, estimated_bytes, source_bytes
 from seqloom.sources.manifest import Manifest
 
 #: Buckets of a new store at least, and the bytes of its first ingest that one bucket takes.
@@ -73,8 +73,9 @@ class CaptureStore:
         """
         state = self._state()
         if not state["version"] and self.asked is None:
-            size = estimated_bytes(events)
-            state["n_buckets"] = BUCKETS if size >= UNKNOWN_BYTES else max(BUCKETS, -(-size // BUCKET_BYTES))
+            sources = source_bytes(events)
+            size = min(estimated_bytes(events), sources)  # a join's estimate may be the product of its sides
+            state["n_buckets"] = BUCKETS if sources >= UNKNOWN_BYTES else max(BUCKETS, -(-size // BUCKET_BYTES))
         version = state["version"] + 1
         rows = events.where("capture_id is not null").withColumn("bucket", self._bucket(F.col("capture_id"), state["n_buckets"]))
         self._write(rows, "events", version, F.floor(F.coalesce("seq", F.lit(0)) / ROWS))

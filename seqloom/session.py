@@ -95,6 +95,25 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimates of all that ``df`` reads, added up.
+
+    :func:`estimated_bytes` multiplies the sides of a join unless it knows the keys of one to be
+    distinct.  A cached frame counts as what it was made from, an RDD as unknown (2 ** 63): of one that
+    is a checkpoint Catalyst repeats what it said of the plan.
+    """
+    size, plans = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        leaves = plans.pop().collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            kind = leaf.getClass().getSimpleName()
+            if kind == "InMemoryRelation":
+                plans.append(leaf.cacheBuilder().logicalPlan())
+            else:
+                size += 1 << 63 if kind == "LogicalRDD" else int(str(leaf.stats().sizeInBytes()))
+    return size
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the estimate is within ``limit``; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df

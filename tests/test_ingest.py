@@ -9,6 +9,7 @@ from seqloom.operators.discover import _match_lengths, cluster_rules, merge_clus
 from seqloom.operators import store as store_module
 from seqloom.operators.sequence import segments
 from seqloom.operators.store import CaptureStore
+from seqloom.session import estimated_bytes, source_bytes
 from seqloom.sources import ndjson
 from seqloom.sources.ndjson import canonical_blobs, ordered_events, quarantine, read_lines, source_repeats
 
@@ -144,6 +145,24 @@ def test_store_versions(spark, tmp_path, monkeypatch):
     assert max(len(list((tmp_path / "s" / "events").glob(f"v=*/bucket={b}"))) for b in (0, 1)) <= 5
 
 
+def test_store_buckets(spark, tmp_path, monkeypatch):
+    """A join's estimate, the product of its sides, doesn't make a bucket of each capture; a large source makes more."""
+    left = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") % 500).alias("capture_id"), F.col("id").alias("seq"), F.col("id").alias("ts_us"))
+    right = spark.range(20_000).withColumnRenamed("id", "seq").where("seq < 2000")
+    joined = left.join(right, "seq")
+    assert estimated_bytes(joined) > 200 * store_module.BUCKET_BYTES and source_bytes(joined) == 320_000
+    cached = joined.cache()
+    assert source_bytes(cached.where("seq < 5")) == 320_000
+    assert source_bytes(joined.localCheckpoint()) >= store_module.UNKNOWN_BYTES
+    cached.unpersist()
+    for path, events, least, buckets in (("joined", joined, 256 << 20, 64), ("large", left.where("seq < 2000"), 1 << 10, 157), ("rdd", joined.localCheckpoint(), 1 << 10, 64)):
+        monkeypatch.setattr(store_module, "BUCKET_BYTES", least)
+        store = CaptureStore(spark, str(tmp_path / path))
+        store.ingest(events)
+        assert store._state()["n_buckets"] == buckets
+        assert [tuple(r) for r in store.captures().orderBy("capture_id").collect()] == sorted((f"c{i}", 4, i, i + 1500, "") for i in range(500))
+
+
 def test_lines_of_a_file_read_in_several_splits(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
